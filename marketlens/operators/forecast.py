@@ -1,7 +1,8 @@
 """Five-day forecasts: forests, boosted trees and sequence models, fitted over all symbols at once.
 
-One pooled model per target takes the symbol as a categorical feature, so that training
-is one distributed job whatever the number of symbols and however rows are spread over
+One pooled model per target serves all symbols, so that training is one distributed job
+whatever the number of symbols and however rows are spread over them. A symbol enters as
+its mean targets, which splits symbols as a categorical feature would, at any number of
 them. `fit_each` trains one model per symbol for a handful of symbols.
 """
 
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.vectors import slide
 from marketlens.operators import features as X
+from marketlens.sources.scratch import staged
 
 TARGETS = ("volume", "close")
 FORECAST_DAYS = 5
-MAX_CATEGORIES = 1000
 
 
 # --- dates and frames ----------------------------------------------------------
@@ -102,57 +103,47 @@ def linear_model(target: str) -> Estimator:
 ESTIMATORS = {"rf": random_forest, "gbt": boosted_trees, "linear": linear_model}
 
 
-@dataclass
-class SymbolCode:
-    """Symbol as a categorical number: its index while there are few symbols, else a hash bucket."""
-
-    index: Model | None
-    size: int
-
-    @classmethod
-    def fit(cls, rows: DataFrame, limit: int = MAX_CATEGORIES) -> SymbolCode:
-        some = rows.select("symbol").distinct().limit(limit + 1).count()
-        if some > limit:
-            return cls(None, limit)
-        return cls(StringIndexer(inputCol="symbol", outputCol="symbol_code", handleInvalid="keep").fit(rows), some + 1)
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        if self.index is not None:
-            return self.index.transform(rows)
-        code = F.pmod(F.xxhash64("symbol"), F.lit(self.size)).cast("double")
-        return rows.withColumn("symbol_code", code)
-
-
 @dataclass
 class Forecaster:
-    """Fitted models for both targets."""
+    """Fitted models for the targets, and the per-symbol means they take as inputs."""
 
     models: dict[str, Model]
     inputs: list[str]
-    code: SymbolCode | None
+    means: DataFrame | None
+
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        """Add the symbol's means. A symbol without training rows takes the mean over symbols."""
+        if self.means is None:
+            return rows
+        names = [c for c in self.means.columns if c != "symbol"]
+        overall = self.means.agg(*[F.avg(c).alias(c) for c in names]).select(F.struct("*").alias("m")).scalar()
+        joined = rows.join(self.means, "symbol", "left").withColumn("_overall", overall)
+        return joined.withColumns({c: F.coalesce(F.col(c), F.col("_overall")[c]) for c in names}).drop("_overall")
 
     def assemble(self, rows: DataFrame) -> DataFrame:
-        coded = self.code.add(rows) if self.code else rows
-        inputs = [*self.inputs, "symbol_code"] if self.code else self.inputs
-        return VectorAssembler(inputCols=inputs, outputCol="features").transform(coded)
+        names = [] if self.means is None else [c for c in self.means.columns if c != "symbol"]
+        return VectorAssembler(inputCols=[*self.inputs, *names], outputCol="features").transform(rows)
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """Add `<target>_hat` columns."""
-        out = self.assemble(rows)
+    def predict(self, prepared: DataFrame) -> DataFrame:
+        """Add `<target>_hat` columns to prepared rows."""
+        out = self.assemble(prepared)
         for model in self.models.values():
             out = model.transform(out)
-        return out.drop("features", "symbol_code")
+        return out.drop("features")
 
 
 def fit_pooled(train: DataFrame, inputs: Sequence[str], kind: str = "rf", targets: Sequence[str] = TARGETS,
                pooled: bool = True, **settings) -> Forecaster:
-    """Fit one model per target over all rows; both read the same stored training vectors."""
-    code = SymbolCode.fit(train) if pooled else None
-    out = Forecaster({}, list(inputs), code)
-    if code and kind in ("rf", "gbt"):
-        settings = {"maxBins": max(32, code.size), **settings}
-    rows = out.assemble(train).select("features", *[F.col(t).cast("double").alias(t) for t in targets])
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    """Fit one model per target over all rows; both read the same stored training vectors.
+
+    Training reads `train` several times: pass a stored table.
+    """
+    means = None
+    if pooled:
+        means = staged(train.groupBy("symbol").agg(*[F.avg(t).alias(f"symbol_{t}") for t in targets]), "means")
+    out = Forecaster({}, list(inputs), means)
+    labels = [F.col(t).cast("double").alias(t) for t in targets]
+    rows = out.assemble(out.prepare(train)).select("features", *labels).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for target in targets:
             out.models[target] = ESTIMATORS[kind](target, **settings).fit(rows)
@@ -168,7 +159,7 @@ def forecast_flat(train: DataFrame, newest: DataFrame, as_of: str, kind: str = "
     """Predict once from the newest feature row of each symbol and repeat it for each day."""
     inputs = X.feature_columns(train.columns)
     fitted = fit_pooled(_known(train, as_of), inputs, kind, **settings)
-    predicted = fitted.predict(X.last_row(_known(newest, as_of))).drop("trade_date")
+    predicted = fitted.predict(fitted.prepare(X.last_row(_known(newest, as_of)))).drop("trade_date")
     dated = future_dates(predicted, as_of, days, business_days)
     return forecast_frame(dated, "volume_hat", "close_hat")
 
@@ -188,7 +179,7 @@ def forecast_recursive(train: DataFrame, newest: DataFrame, raw: DataFrame, as_o
     """
     inputs = X.feature_columns(train.columns)
     known = _known(train, as_of)
-    limits = X.minmax_stats(known, inputs)
+    limits = staged(X.minmax_stats(known, inputs), "limits")
     scaled = X.minmax_scale(known, inputs, stats=limits)
     fitted = fit_pooled(scaled, inputs, kind, **settings)
 
@@ -196,7 +187,7 @@ def forecast_recursive(train: DataFrame, newest: DataFrame, raw: DataFrame, as_o
     moments = [m for c in fed.values() for m in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))]
     level = raw.agg(*moments).select(F.struct("*").alias("s")).scalar()
     rows = (
-        X.last_row(_known(newest, as_of)).join(limits, "symbol")
+        fitted.prepare(X.last_row(_known(newest, as_of))).join(limits, "symbol")
         .withColumns({c: X.unit_scale(F.col(c), F.col(f"min_{c}"), F.col(f"max_{c}")) for c in inputs})
         .withColumn("_level", level)
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens.operators.containment import containing_texts
 from marketlens.operators.ranked import latest_distinct, top_k
+from marketlens.sources.scratch import staged
 
 # Company names in order of precedence.
 STOCK_NAMES = {
@@ -58,8 +59,8 @@ def match_symbols(questions: DataFrame, names: DataFrame) -> DataFrame:
     """
     needles = names.select(F.lower("name").alias("needle")).distinct().withColumn("needle_id", F.md5("needle"))
     asked = questions.select("qid", F.lower("text").alias("text")).withColumn("text_id", F.md5("text"))
-    texts = asked.select("text_id", "text").distinct()
-    pairs = containing_texts(needles, texts)
+    texts = staged(asked.select("text_id", "text").distinct(), "texts")
+    pairs = containing_texts(staged(needles, "needles"), texts, digest_ids=True)
     ranked = names.select(F.md5(F.lower("name")).alias("needle_id"), "symbol", "priority")
     best = (
         pairs.join(ranked, "needle_id").groupBy("text_id")

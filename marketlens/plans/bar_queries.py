@@ -383,8 +383,7 @@ _ZS = ", ".join(
 
 @query("standardize", FEATURES + f"SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, {_Z} FROM features")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = X.lag_features(views.trades(spark, sf_dir))
-    scaled = X.standardize(features, X.scaled_columns(features.columns))
+    _, scaled = jobs.scaled_features(views.trades(spark, sf_dir))
     return _rounded(scaled, SCALED, 4).select("symbol", "trade_date", *SCALED)
 
 

@@ -10,7 +10,11 @@ from marketlens import schemas as S
 from marketlens.operators import features as X
 from marketlens.operators import filings, forecast, news, questions, retrieval, series
 from marketlens.sources import landing, sinks
-from marketlens.sources.scratch import new_path
+from marketlens.sources.scratch import staged
+
+
+# Sequence models by the name their predictions are stored under.
+SEQUENCE_KINDS = {"seq_a": "linear", "seq_b": "gbt"}
 
 
 # --- stock bars -----------------------------------------------------------------
@@ -34,10 +38,15 @@ def build_features(bars: DataFrame) -> DataFrame:
     return X.lag_features(series.clean_table(bars, keep=bars.columns))
 
 
+def scaled_features(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw and standardised features. The raw ones are written first: scaling reads them twice."""
+    raw = staged(build_features(bars), "features")
+    return raw, X.standardize(raw, X.scaled_columns(raw.columns))
+
+
 def store_features(bars: DataFrame, path: str, run_ts: str, seed: int = 42) -> None:
     """Standardised features with split labels, as one run of a snapshot table."""
-    raw = build_features(bars)
-    scaled = X.standardize(raw, X.scaled_columns(raw.columns))
+    _, scaled = scaled_features(bars)
     sinks.write_snapshot(X.random_split(scaled, ["symbol", "trade_date"], seed), path, run_ts)
 
 
@@ -47,32 +56,42 @@ def forecast_trades(bars: DataFrame, as_of: str, models: dict[str, dict] | None
     `models` maps any of rf, gbt, seq_a (linear) and seq_b (boosted trees) to settings.
     """
     wanted = models if models is not None else {"rf": {}, "gbt": {}, "seq_a": {}, "seq_b": {"rounds": 10, "depth": 4}}
-    spark, out = bars.sparkSession, {}
+    out = {}
     if {"rf", "gbt"} & set(wanted):
-        raw = _written(spark, build_features(bars), "features")
-        scaled = X.random_split(X.standardize(raw, X.scaled_columns(raw.columns)), ["symbol", "trade_date"])
-        scaled = _written(spark, scaled, "scaled")
+        raw, scaled = scaled_features(bars)
+        scaled = staged(X.random_split(scaled, ["symbol", "trade_date"]), "scaled")
         train, newest = scaled.where(F.col("split") == "train").drop("split"), scaled.drop("split")
         if "rf" in wanted:
             out["rf"] = forecast.forecast_flat(train, newest, as_of, **wanted["rf"])
         if "gbt" in wanted:
             out["gbt"] = forecast.forecast_recursive(train, newest, raw, as_of, **wanted["gbt"])
-    if {"seq_a", "seq_b"} & set(wanted):
-        scaled, limits = forecast.scaled_bars(series.dedup_bar_first(bars))
-        scaled, limits = _written(spark, scaled, "scaled_bars"), _written(spark, limits, "limits")
-        train = X.chrono_split(X.sequence_windows(scaled)).where(F.col("split") == "train")
-        last = X.last_sequence(scaled)
-        for name, kind in (("seq_a", "linear"), ("seq_b", "gbt")):
-            if name in wanted:
-                fitted = forecast.fit_sequences(train, kind, **wanted[name])
-                out[name] = forecast.forecast_sequences(fitted, last, limits, as_of)
+    sequences = [name for name in SEQUENCE_KINDS if name in wanted]
+    parts = SequenceParts(bars) if sequences else None
+    for name in sequences:
+        fitted = forecast.fit_sequences(parts.train, SEQUENCE_KINDS[name], **wanted[name])
+        out[name] = forecast.forecast_sequences(fitted, X.last_sequence(parts.scaled), parts.limits, as_of)
     return out
 
 
-def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def score_trades(bars: DataFrame, models: dict[str, dict]) -> DataFrame:
+    """Held-out error per symbol and sequence model: rows of the model_metrics table."""
+    scores = {}
+    parts = SequenceParts(bars)
+    for name, settings in models.items():
+        fitted = forecast.fit_sequences(parts.train, SEQUENCE_KINDS[name], **settings)
+        scores[name] = forecast.score_sequences(fitted, parts.test, parts.limits)
+    return forecast.union_forecasts(scores)
+
+
+class SequenceParts:
+    """Scaled bars, their limits, and the windows before and after the split in time."""
+
+    def __init__(self, bars: DataFrame) -> None:
+        scaled, limits = forecast.scaled_bars(series.dedup_bar_first(bars))
+        self.scaled, self.limits = staged(scaled, "scaled-bars"), staged(limits, "limits")
+        windows = X.chrono_split(X.sequence_windows(self.scaled))
+        self.train = windows.where(F.col("split") == "train")
+        self.test = windows.where(F.col("split") == "test")
 
 
 def store_forecasts(forecasts: dict[str, DataFrame], table: str) -> None:

@@ -96,6 +96,13 @@ PREDICTIONS = T.StructType([
     T.StructField("close_prediction", T.DoubleType()),
 ])
 
+MODEL_METRICS = T.StructType([
+    T.StructField("symbol", T.StringType()),
+    T.StructField("mse_volume", T.DoubleType()),
+    T.StructField("mse_close", T.DoubleType()),
+    T.StructField("model", T.StringType()),
+])
+
 
 def _address() -> T.StructType:
     parts = ["zipCode", "stateOrCountry", "city", "street2", "stateOrCountryDescription", "street1"]
@@ -151,6 +158,7 @@ TABLES = {
     "news_sentiment": (NEWS_SENTIMENT, []),
     "filings_10k": (FILINGS_10K, []),
     "company_profile": (COMPANY_PROFILE, []),
+    "model_metrics": (MODEL_METRICS, ["model"]),
     "predictions": (T.StructType([*PREDICTIONS.fields, T.StructField("model", T.StringType())]), ["model"]),
 }
 
