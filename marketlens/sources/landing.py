@@ -50,20 +50,21 @@ def read_news_variant(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_filings(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Filings documents, and what could not be read as one.
+    """Filings documents, and (file, text) of what could not be read as one.
 
     An unreadable document is set aside; a file that vanishes while it is being read is skipped.
     """
     schema = T.StructType([
         T.StructField("company_name", T.StringType()), *S.FILINGS_DOC.fields, T.StructField(CORRUPT, T.StringType()),
     ])
-    docs = (
-        spark.read.schema(schema)
-        .option("multiLine", str(not lines)).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).option("ignoreMissingFiles", "true")
-        .json(path)
+    texts = spark.read.option("wholetext", str(not lines)).option("ignoreMissingFiles", "true").text(path)
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    docs = texts.select(F.col("_metadata.file_path").alias("file"), parsed.alias("doc"))
+    unreadable = F.col(f"doc.{CORRUPT}").isNotNull()
+    return (
+        docs.where(~unreadable).select("doc.*").drop(CORRUPT),
+        docs.where(unreadable).select("file", F.col(f"doc.{CORRUPT}").alias("text")),
     )
-    return docs.where(F.col(CORRUPT).isNull()).drop(CORRUPT), docs.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.sources.scratch import new_path
+from marketlens.sources.scratch import staged
 
 
 def balanced(df: DataFrame, *by: str) -> DataFrame:
@@ -90,26 +92,40 @@ def insert_rows(df: DataFrame, table: str, required: Sequence[str] = (), on_erro
     return bad
 
 
+@contextmanager
+def _whole_table_overwrite(spark: SparkSession) -> Iterator[None]:
+    # Inserts into a table follow the session's mode, which may be set to replace single partitions.
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "static")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _stage_and_insert(df: DataFrame, table: str, overwrite: bool) -> None:
     # A table cannot be overwritten while it is read, so the result is written aside first.
-    spark = df.sparkSession
-    path = new_path(spark, "stage")
-    df.write.parquet(path)
-    spark.read.schema(df.schema).parquet(path).write.insertInto(table, overwrite=overwrite)
+    with _whole_table_overwrite(df.sparkSession):
+        staged(df, "stage").write.insertInto(table, overwrite=overwrite)
 
 
 def replace_table(df: DataFrame, table: str, on_date: str | None = None) -> None:
     """Replace all rows of a table in one overwrite."""
     spark = df.sparkSession
     fitted = conform(guard_dates(df, on_date) if on_date else df, spark.table(table).schema)
-    fitted.write.option("partitionOverwriteMode", "static").insertInto(table, overwrite=True)
+    with _whole_table_overwrite(spark):
+        fitted.write.insertInto(table, overwrite=True)
 
 
 def replace_model(df: DataFrame, table: str, model: str) -> None:
-    """Replace the predictions of one model; other partitions stay."""
-    stamped = df.withColumn("model", F.lit(model))
-    fitted = conform(guard_dates(stamped), df.sparkSession.table(table).schema)
-    fitted.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    """Replace the predictions of one model, its partition of the table; other partitions stay."""
+    if not re.fullmatch(r"[\w-]+", model):
+        raise ValueError(f"not a model name: {model}")
+    spark = df.sparkSession
+    schema = T.StructType([f for f in spark.table(table).schema if f.name != "model"])
+    fitted = conform(guard_dates(df), schema)
+    spark.sql(f"INSERT OVERWRITE {table} PARTITION (model = '{model}') SELECT * FROM {{fitted}}", fitted=fitted)
 
 
 def dedup_table(spark: SparkSession, table: str) -> None:
