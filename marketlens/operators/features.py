@@ -166,13 +166,15 @@ def sequence_windows(bars: DataFrame, length: int = 60, columns: Sequence[str] =
                      tile_rows: int = TILE_ROWS) -> DataFrame:
     """Sliding windows of `length` rows with the next row as target, per symbol.
 
-    Output: symbol, trade_date (of the target), seq_no, sequence (array of structs), target_*.
+    Output: symbol, trade_date (of the target), seq_no, seq_count (of the symbol), sequence
+    (array of structs), target_*.
     """
     tiles = cut(bars, length, ties=BAR_VALUES, tile_rows=tile_rows)
     back = tiles.window.rowsBetween(-length, -1)
     rows = tiles.rows.select(
         "symbol", "trade_date", "_own",
         (tiles.position - length).alias("seq_no"),
+        (tiles.total - length).alias("seq_count"),
         F.collect_list(F.struct(*columns)).over(back).alias("sequence"),
         *[F.col(c).alias(f"target_{c}") for c in columns],
     )
@@ -180,14 +182,9 @@ def sequence_windows(bars: DataFrame, length: int = 60, columns: Sequence[str] =
 
 
 def chrono_split(sequences: DataFrame, train_share: float = 0.8) -> DataFrame:
-    """First int(share * n) sequences of a symbol train, the rest test."""
-    totals = sequences.groupBy("symbol").agg(F.count(F.lit(1)).alias("_sequences"))
-    trains = F.col("seq_no") < F.floor(F.col("_sequences") * F.lit(train_share))
-    return (
-        sequences.join(totals, "symbol")
-        .withColumn("split", F.when(trains, "train").otherwise("test"))
-        .drop("_sequences")
-    )
+    """First int(share * n) sequences of a symbol train, the rest test. No shuffle: each row knows n."""
+    trains = F.col("seq_no") < F.floor(F.col("seq_count") * F.lit(train_share))
+    return sequences.withColumn("split", F.when(trains, "train").otherwise("test"))
 
 
 def last_row(df: DataFrame, by: str = "symbol", order: str = "trade_date") -> DataFrame:

@@ -12,6 +12,10 @@ from marketlens.operators.ranked import keep_first
 
 NEWS_KEY = ["headline", "summary", "source", "published_at"]
 
+# Words of a lexicon that is sent along with the scoring tasks, and its hash buckets.
+INLINE_LEXICON = 20000
+LEXICON_BUCKETS = 4096
+
 # A small general-purpose lexicon of word, polarity, intensity.
 # Rows with polarity 0 change the word after them: they scale it, or negate it
 # when the intensity is negative.
@@ -30,26 +34,71 @@ def lexicon_frame(spark: SparkSession, entries: Sequence[tuple[str, float, float
     return spark.createDataFrame(list(entries), "word string, polarity double, intensity double")
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}']+"), lambda w: w != "")
+
+
+def _clip(value: Column) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
+
+
 def lexicon_polarity(articles: DataFrame, lexicon: DataFrame, key: str, text: str = "summary",
-                     score: str = "custom_sentiment_score") -> DataFrame:
+                     score: str = "custom_sentiment_score", inline_limit: int = INLINE_LEXICON) -> DataFrame:
     """Mean polarity in [-1, 1] of the lexicon words of a text; 0 where there is none.
 
-    The word before is paired with each word inside the row, so that no window is
-    needed. Lexicon hits are the only rows that go on, and they are summed per
-    article before the shuffle. The lexicon joins are left to Spark's size check.
+    A lexicon of up to `inline_limit` words goes along as one value, and texts are scored
+    where they are, without a shuffle. A larger one is joined word by word.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}']+"), lambda w: w != "")
+    if lexicon.limit(inline_limit + 1).count() <= inline_limit:
+        return _polarity_in_place(articles, lexicon, text, score)
+    return _polarity_by_join(articles, lexicon, key, text, score)
+
+
+def _polarity_in_place(articles: DataFrame, lexicon: DataFrame, text: str, score: str) -> DataFrame:
+    # The lexicon as an array of hash buckets, so that a word is looked up without a scan of all entries.
+    def bucket(word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(LEXICON_BUCKETS)).cast("int")
+
+    filled = lexicon.groupBy(bucket(F.col("word")).alias("bucket")).agg(
+        F.collect_list(F.struct("word", "polarity", "intensity")).alias("entries")
+    )
+    numbers = lexicon.sparkSession.range(LEXICON_BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    ordered = F.sort_array(F.collect_list(F.struct("bucket", "entries")))
+    table = numbers.join(filled, "bucket", "left").agg(F.transform(ordered, lambda b: b["entries"]).alias("t")).scalar()
+
+    def entry(word: Column) -> Column:
+        return F.get(F.filter(F.get(F.col("_lexicon"), bucket(word)), lambda e: e["word"] == word), F.lit(0))
+
+    words, entries = F.col("_found_words"), F.col("_entries")
+
+    def value(found: Column, at: Column) -> Column:
+        before = F.when(at > 0, F.get(entries, at - 1))
+        scale = F.when(before["polarity"] == 0, before["intensity"])
+        return F.when(found["polarity"] != 0, _clip(found["polarity"] * F.coalesce(scale, F.lit(1.0))))
+
+    looked_up = (
+        articles.withColumns({"_found_words": _words(F.col(text)), "_lexicon": table})
+        .withColumn("_entries", F.transform(words, entry))
+        .withColumn("_values", F.array_compact(F.transform(entries, value)))
+    )
+    total = F.aggregate("_values", F.lit(0.0), lambda s, v: s + v)
+    mean = F.when(F.size("_values") > 0, total / F.size("_values")).otherwise(0.0)
+    return looked_up.withColumn(score, mean).drop("_found_words", "_lexicon", "_entries", "_values")
+
+
+def _polarity_by_join(articles: DataFrame, lexicon: DataFrame, key: str, text: str, score: str) -> DataFrame:
+    # The word before is paired with each word inside the row, so that no window is needed.
+    # Lexicon hits are the only rows that go on, and they are summed per article before the shuffle.
     pairs = F.transform(
         F.col("_words"),
         lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get(F.col("_words"), i - 1)).alias("previous")),
     )
-    spoken = articles.select(key, words.alias("_words")).select(key, F.inline(pairs))
+    spoken = articles.select(key, _words(F.col(text)).alias("_words")).select(key, F.inline(pairs))
     rated = lexicon.where(F.col("polarity") != 0).select("word", "polarity")
     modifiers = lexicon.where(F.col("polarity") == 0).select(F.col("word").alias("previous"), "intensity")
     hits = spoken.join(rated, "word").join(modifiers, "previous", "left")
-    value = F.col("polarity") * F.coalesce(F.col("intensity"), F.lit(1.0))
-    clipped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
-    scores = hits.groupBy(key).agg(F.avg(clipped).alias(score))
+    value = _clip(F.col("polarity") * F.coalesce(F.col("intensity"), F.lit(1.0)))
+    scores = hits.groupBy(key).agg(F.avg(value).alias(score))
     return articles.join(scores, key, "left").withColumn(score, F.coalesce(F.col(score), F.lit(0.0)))
 
 

@@ -212,10 +212,10 @@ def filter_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.filter_symbol(views.trades(spark, sf_dir), "S3")
 
 
-@query("drop_null_key", BARS + f"SELECT {BAR_TEXT} FROM trades WHERE volume % 10 <> 0")
+@query("drop_null_key", BARS + f"SELECT {BAR_TEXT} FROM trades WHERE volume >= 10")
 def drop_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = views.trades(spark, sf_dir)
-    return series.drop_null_key(bars.withColumn("symbol", F.when(F.col("volume") % 10 != 0, F.col("symbol"))))
+    return series.drop_null_key(bars.withColumn("symbol", F.when(F.col("volume") >= 10, F.col("symbol"))))
 
 
 @query("drop_sparse_columns", NOISY + """

@@ -67,16 +67,14 @@ def split_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lookup_cik", """
-SELECT o_orderkey, 'S' || (o_custkey % 20) AS symbol, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik
-FROM orders JOIN supplier ON o_custkey % 20 = s_suppkey""")
+SELECT 'S' || l_suppkey AS symbol, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, count(*) AS items
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey, s_suppkey""")
 def lookup_cik(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = views.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"), F.col("s_suppkey").cast("string").alias("cik")
     )
-    rows = views.table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.concat(F.lit("S"), F.col("o_custkey") % 20).alias("symbol")
-    )
-    return G.lookup_cik(rows, dim)
+    rows = views.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"))
+    return G.lookup_cik(rows, dim).groupBy("symbol", "cik").agg(F.count(F.lit(1)).alias("items"))
 
 
 # --- questions ---------------------------------------------------------------------

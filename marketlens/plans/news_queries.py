@@ -123,6 +123,12 @@ def lexicon_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("feed_pos", F.round("custom_sentiment_score", 6).alias("custom_sentiment_score"))
 
 
+@query("lexicon_polarity_join", POLARITY + "SELECT feed_pos, round(score, 6) AS custom_sentiment_score FROM polarity")
+def lexicon_polarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = N.lexicon_polarity(_shaped(spark, sf_dir), _lexicon(spark), "feed_pos", inline_limit=0)
+    return scored.select("feed_pos", F.round("custom_sentiment_score", 6).alias("custom_sentiment_score"))
+
+
 @query("dedup_news_first", SHAPED + """
 SELECT feed_pos, headline, md5(summary) AS summary_md5, original_sentiment_score, published_at FROM shaped
 QUALIFY row_number() OVER (PARTITION BY headline, summary, source, published_at ORDER BY feed_pos) = 1""")

@@ -19,10 +19,11 @@ def feed(spark):
     ], FEED)
 
 
-def test_polarity(spark):
+@pytest.mark.parametrize("inline_limit", [1000, 3])
+def test_polarity(spark, inline_limit):
     texts = ["good", "very good", "not good", "bad and good", "nothing", "", None, "GOOD, good!", "good not", "best extremely best"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, summary string")
-    scored = N.lexicon_polarity(df, N.lexicon_frame(spark), "id")
+    scored = N.lexicon_polarity(df, N.lexicon_frame(spark), "id", inline_limit=inline_limit)
     found = [round(r["custom_sentiment_score"], 4) for r in scored.orderBy("id").collect()]
     assert found == [0.7, 0.91, -0.35, 0.0, 0.0, 0.0, 0.0, 0.7, 0.7, 1.0]
     labels = [r["custom_sentiment_label"] for r in N.label_sentiment(scored).orderBy("id").collect()]
