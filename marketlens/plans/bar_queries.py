@@ -449,17 +449,19 @@ SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, seq_no, len(closes) AS
 def sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = X.sequence_windows(views.trades(spark, sf_dir))
 
-    def weighted(name: str, zero) -> F.Column:
-        terms = F.transform("sequence", lambda s, i: s[name] * (i + 1))
-        return F.aggregate(terms, zero, lambda total, t: total + t)
-
+    # One pass over the sequence gives both sums, weighted by position.
+    start = F.struct(F.lit(0.0).alias("close"), F.lit(0).cast("long").alias("volume"), F.lit(1).alias("at"))
+    sums = F.aggregate("sequence", start, lambda t, s: F.struct(
+        (t["close"] + s["close"] * t["at"]).alias("close"), (t["volume"] + s["volume"] * t["at"]).alias("volume"),
+        (t["at"] + 1).alias("at"),
+    ))
+    first, last = F.col("sequence")[0]["close"], F.col("sequence")[59]["close"]
     return windows.select(
-        "symbol", "trade_date", "seq_no", F.size("sequence").alias("length"),
-        F.col("sequence")[0]["close"].alias("oldest_close"), F.col("sequence")[59]["close"].alias("newest_close"),
-        F.round(weighted("close", F.lit(0.0)), 2).alias("weighted_close"),
-        weighted("volume", F.lit(0).cast("long")).alias("weighted_volume"),
-        "target_close", "target_volume",
-    )
+        "symbol", "trade_date", "seq_no", F.size("sequence").alias("length"), first.alias("oldest_close"),
+        last.alias("newest_close"), "target_close", "target_volume", sums.alias("_sums"),
+    ).select(
+        "*", F.round("_sums.close", 2).alias("weighted_close"), F.col("_sums.volume").alias("weighted_volume")
+    ).drop("_sums")
 
 
 @query("chrono_split", SEQUENCES + """
