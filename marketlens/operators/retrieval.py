@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from marketlens.functions.vectors import pad_vector
 from marketlens.operators.ranked import top_k
 
+# The scoring functions are sent with the tasks, so that workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 400
 VECTOR_WIDTH = 1536
