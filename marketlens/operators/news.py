@@ -140,7 +140,7 @@ def project_variant_news(records: DataFrame, column: str = "item", extra: Sequen
 
 def dedup_news_first(articles: DataFrame, order: Sequence[str] = ("feed_pos",)) -> DataFrame:
     """First article per headline, summary, source and publication time, in feed order."""
-    return keep_first(articles, NEWS_KEY, [F.col(c).asc_nulls_last() for c in order])
+    return keep_first(articles, NEWS_KEY, [F.col(c).asc_nulls_last() for c in order], long_keys=True)
 
 
 def parse_published(articles: DataFrame) -> DataFrame:

@@ -27,10 +27,14 @@ def row_digest(*columns: str | Column) -> Column:
     return F.unhex(F.sha2(record, 256))
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row per key in a stated order. The order should be total, or the survivor is arbitrary."""
-    marked = df.withColumn("_key", row_digest(*keys))
-    return top_k(marked, ["_key"], order, 1).drop("_key")
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], long_keys: bool = False) -> DataFrame:
+    """First row per key in a stated order. The order should be total, or the survivor is arbitrary.
+
+    With `long_keys` (texts) rows are grouped by a digest of the key.
+    """
+    if not long_keys:
+        return top_k(df, keys, order, 1)
+    return top_k(df.withColumn("_key", row_digest(*keys)), ["_key"], order, 1).drop("_key")
 
 
 def latest_distinct(df: DataFrame, by: Sequence[str], date: str, columns: Sequence[str], k: int,

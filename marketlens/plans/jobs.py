@@ -104,7 +104,7 @@ def store_forecasts(forecasts: dict[str, DataFrame], table: str) -> None:
 def news_from_feed(feed: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Feed items(feed_symbol, feed_pos, ...) to the typed, distinct news table."""
     shaped = news.project_news(feed, extra=["feed_symbol", "feed_pos"])
-    first = news.keep_first(shaped, ["feed_symbol", *news.NEWS_KEY], [F.asc("feed_pos")])
+    first = news.keep_first(shaped, ["feed_symbol", *news.NEWS_KEY], [F.asc("feed_pos")], long_keys=True)
     published, _ = news.split_unpublished(first)
     keyed = published.withColumn("_id", F.concat_ws("/", "feed_symbol", F.col("feed_pos").cast("string")))
     scored = news.label_sentiment(news.lexicon_polarity(keyed, lexicon, "_id"))

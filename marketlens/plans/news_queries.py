@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens import schemas as S
 from marketlens.functions import values as V
 from marketlens.operators import news as N
 from marketlens.operators import retrieval, similar
 from marketlens.plans import jobs, views
 from marketlens.plans import sql_views as Q
 from marketlens.plans.registry import query
-from marketlens.sources import landing
+from marketlens.sources import landing, sinks
 from marketlens.sources.scratch import new_path
 from marketlens.streaming import ingest
 
@@ -58,17 +59,42 @@ scored AS (SELECT feed_pos, headline, summary, original_sentiment_score / 4 AS c
 SCORED = Q.with_views(Q.NEWS, _SHAPED, _SCORED)
 
 
+def _write_feed(feed: DataFrame, path: str) -> None:
+    """Feed files per symbol; each line is a JSON array of the items of 1,000 feed positions at most."""
+    item = F.struct("feed_pos", *S.NEWS_ITEM.names)
+    arrays = feed.groupBy("feed_symbol", F.floor(F.col("feed_pos") / 1000).alias("part")).agg(
+        F.to_json(F.sort_array(F.collect_list(item))).alias("value")
+    )
+    sinks.balanced(arrays.select("feed_symbol", "value"), "feed_symbol").write.partitionBy("feed_symbol").text(path)
+
+
+FEED_SYMBOL = r"feed_symbol=([^/]+)/"
+
+
 @query("scan_news_json", NEWS + """
-SELECT feed_symbol, title, md5(summary) AS summary_md5, overall_sentiment_score, overall_sentiment_label, source,
-  time_published FROM news""")
+SELECT feed_symbol, row_number() OVER (PARTITION BY feed_symbol, feed_pos // 1000 ORDER BY feed_pos) - 1 AS feed_pos,
+  title, md5(summary) AS summary_md5, overall_sentiment_score, overall_sentiment_label, source, time_published FROM news""")
 def scan_news_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "news")
-    feed = views.news(spark, sf_dir).drop("feed_pos")
-    feed.hint("rebalance", "feed_symbol").write.partitionBy("feed_symbol").json(path)
-    found = landing.read_news(spark, f"{path}/*", lines=True, name_pattern=r"feed_symbol=([^/]+)/")
+    _write_feed(views.news(spark, sf_dir), path)
+    found = landing.read_news(spark, f"{path}/*", lines=True, name_pattern=FEED_SYMBOL)
     return found.withColumn("summary_md5", F.md5("summary")).drop("summary")
 
 
+@query("scan_news_variant", NEWS + """
+SELECT feed_symbol, title AS headline, md5(summary) AS summary_md5, coalesce(overall_sentiment_score, 0) AS score,
+  time_published FROM news""")
+def scan_news_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "news")
+    _write_feed(views.news(spark, sf_dir), path)
+    items = landing.read_news_variant(spark, f"{path}/*", lines=True, name_pattern=FEED_SYMBOL)
+    shaped = N.project_variant_news(items, extra=["feed_symbol"])
+    return shaped.select(
+        "feed_symbol", "headline", F.md5("summary").alias("summary_md5"),
+        F.col("original_sentiment_score").alias("score"), F.col("published_at").alias("time_published"),
+    )
+
+
 @query("project_news", SHAPED + """
 SELECT feed_symbol, feed_pos, headline, md5(summary) AS summary_md5, original_sentiment_score, original_sentiment_label,
   source, time_published AS published_at FROM shaped""")

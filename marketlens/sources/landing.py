@@ -37,16 +37,26 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return _json(spark, path, S.BAR_RECORD, lines)
 
 
-def read_news(spark: SparkSession, path: str, lines: bool = False, name_pattern: str | None = None,
-              extra: T.StructType | None = None) -> DataFrame:
-    schema = T.StructType([*(extra.fields if extra else []), *S.NEWS_ITEM.fields])
-    feed = _json(spark, path, schema, lines)
-    return symbol_from_name(feed, name_pattern, "feed_symbol") if name_pattern else feed
+def _news_texts(spark: SparkSession, path: str, lines: bool, name_pattern: str | None) -> tuple[DataFrame, list[str]]:
+    texts = spark.read.text(path, wholetext=not lines)
+    if name_pattern is None:
+        return texts, []
+    return symbol_from_name(texts, name_pattern, "feed_symbol"), ["feed_symbol"]
 
 
-def read_news_variant(spark: SparkSession, path: str) -> DataFrame:
-    """News lines as variants, which tell a missing key from a JSON null."""
-    return spark.read.text(path).select(F.try_parse_json("value").alias("item")).where(F.col("item").isNotNull())
+def read_news(spark: SparkSession, path: str, lines: bool = False, name_pattern: str | None = None) -> DataFrame:
+    """Feed items with their position: a JSON array per file (or per line), or one item per line."""
+    texts, names = _news_texts(spark, path, lines, name_pattern)
+    items = F.from_json("value", T.ArrayType(S.NEWS_ITEM))
+    return texts.select(*names, F.posexplode(items).alias("feed_pos", "item")).select(*names, "feed_pos", "item.*")
+
+
+def read_news_variant(spark: SparkSession, path: str, lines: bool = False,
+                      name_pattern: str | None = None) -> DataFrame:
+    """As `read_news`, with each item as a variant, which tells a missing key from a JSON null."""
+    texts, names = _news_texts(spark, path, lines, name_pattern)
+    items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    return texts.select(*names, F.posexplode(items).alias("feed_pos", "item"))
 
 
 def read_filings(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +67,7 @@ def read_filings(spark: SparkSession, path: str, lines: bool = False) -> tuple[D
     schema = T.StructType([
         T.StructField("company_name", T.StringType()), *S.FILINGS_DOC.fields, T.StructField(CORRUPT, T.StringType()),
     ])
-    texts = spark.read.option("wholetext", str(not lines)).option("ignoreMissingFiles", "true").text(path)
+    texts = spark.read.option("ignoreMissingFiles", "true").text(path, wholetext=not lines)
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     docs = texts.select(F.col("_metadata.file_path").alias("file"), parsed.alias("doc"))
     unreadable = F.col(f"doc.{CORRUPT}").isNotNull()

@@ -36,7 +36,7 @@ def test_positions_and_tile_sizes_with_many_rows_per_day(spark):
     # Revisions: several rows per day, and blocks that are larger than a tile.
     rows = [("hot", datetime.date(2000, 1, 1) + datetime.timedelta(days=i // 40), float(i)) for i in range(2000)]
     bars = spark.createDataFrame(rows, "symbol string, trade_date date, value double")
-    cut = tiles.cut(bars, halo=20, ties=["value"], tile_rows=50, block_days=1)
+    cut = tiles.cut(bars, halo=20, ties=["value"], tile_rows=50)
     placed = cut.finish(cut.rows.withColumn("position", cut.position))
     assert placed.where(F.col("position") != F.col("value")).count() == 0 and placed.count() == 2000
     assert cut.rows.groupBy("_tile").count().agg(F.max("count")).first()[0] <= 50 + 2 * 40 + 20

@@ -49,9 +49,20 @@ def test_records_file(spark, tmp_path):
     assert row["symbol"] == "A" and row["open"] is None and row["volume"] == 3.0
 
 
+def test_news_files_keep_feed_order(spark, tmp_path):
+    items = [{"title": f"t{i}", "summary": "s", "overall_sentiment_score": None} for i in range(3)] + [{"title": "t3"}]
+    (tmp_path / "news_AAPL_data.json").write_text(json.dumps(items, indent=2))
+    (tmp_path / "news_MSFT_data.json").write_text("[]")
+    pattern = r"news_(\w+)_data\.json"
+    rows = landing.read_news(spark, str(tmp_path), name_pattern=pattern).orderBy("feed_pos").collect()
+    assert [(r["feed_symbol"], r["feed_pos"], r["title"]) for r in rows] == [("AAPL", i, f"t{i}") for i in range(4)]
+    variants = N.project_variant_news(landing.read_news_variant(spark, str(tmp_path), name_pattern=pattern), extra=["feed_pos"])
+    assert [r["original_sentiment_score"] for r in variants.orderBy("feed_pos").collect()] == [None, None, None, 0.0]
+
+
 def test_unreadable_filings_are_set_aside(spark, tmp_path, db):
     recent = {"form": ["10-K"], "filingDate": ["2024-01-01"], "primaryDocument": ["a b"], "primaryDocDescription": ["d"]}
-    (tmp_path / "raw_A.json").write_text(json.dumps({"company_name": "A", "cik": "1", "filings": {"recent": recent}}))
+    (tmp_path / "raw_A.json").write_text(json.dumps({"company_name": "A", "cik": "1", "filings": {"recent": recent}}, indent=2))
     (tmp_path / "raw_B.json").write_text("{ not json")
     unreadable = jobs.load_filings(spark, str(tmp_path), f"{db}.filings_10k")
     assert unreadable.count() == 1
