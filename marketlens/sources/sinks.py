@@ -50,11 +50,16 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def split_conforming(df: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Rows that fit a schema (cast), and rows with a value that does not cast or a required one missing."""
+    """Rows that fit a schema (cast), and rows with a value that does not cast or a required one missing.
+
+    A fraction does not fit a whole-number column.
+    """
     bad = F.lit(False)
     for field in schema:
         raw = F.col(field.name)
         bad = bad | (raw.isNotNull() & raw.try_cast(field.dataType).isNull())
+        if isinstance(field.dataType, T.IntegralType) and isinstance(df.schema[field.name].dataType, T.FractionalType):
+            bad = bad | F.coalesce(raw != F.floor(raw), F.lit(False))
         if field.name in required:
             bad = bad | raw.isNull()
     fitted = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema]

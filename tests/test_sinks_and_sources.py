@@ -3,6 +3,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens import schemas as S
 from marketlens.operators import news as N
@@ -112,6 +113,12 @@ def test_row_inserts(spark, db):
     assert bad.count() == 2 and spark.table(table).count() == 1
 
 
+def test_fractions_do_not_fit_whole_numbers(spark):
+    df = spark.createDataFrame([(2.0,), (2.7,), (None,)], "volume double")
+    good, bad = sinks.split_conforming(df, T.StructType([T.StructField("volume", T.LongType())]))
+    assert [r[0] for r in good.collect()] == [2, None] and [r[0] for r in bad.collect()] == [2.7]
+
+
 def prediction(spark, date, close):
     return spark.createDataFrame([("a", date, 1.0, close)], "symbol string, trade_date date, volume_prediction double, close_prediction double")
 
