@@ -159,10 +159,9 @@ def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
 _HITS = "query_id long, vec_id long, score double"
 
 
-def _topk_broadcast(queries: list, corpus: DataFrame, k: int) -> DataFrame:
-    frame = pd.DataFrame({"query_id": [q[0] for q in queries], "embedding": [q[1] for q in queries]})
+def _topk_broadcast(queries: pd.DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (frame["query_id"].to_numpy(), _unit_rows(frame["embedding"]))
+        (queries["query_id"].to_numpy(), _unit_rows(queries["embedding"]))
     )
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,17 +203,17 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
                 broadcast_limit: int = BROADCAST_QUERIES, block: int = BLOCK_VECTORS) -> DataFrame:
     """Exact k nearest vectors by cosine (rounded to 6 digits, ties by id) for each query.
 
-    `queries(query_id, embedding)`, `corpus(vec_id, embedding)`. Up to `broadcast_limit`
+    `queries(query_id, embedding)`, `corpus(vec_id, embedding)`; ids are unique. Up to `broadcast_limit`
     queries are sent to the tasks that scan the corpus, which is then not shuffled. More
     queries are matched block by block. Both ways score with matrix products and only emit
     the best k per query and task.
     """
     asked = queries.select("query_id", "embedding")
-    sample = asked.limit(broadcast_limit + 1).collect()
-    if len(sample) <= broadcast_limit:
-        if not sample:
+    some = asked.limit(broadcast_limit + 1).toArrow()
+    if some.num_rows <= broadcast_limit:
+        if not some.num_rows:
             return corpus.sparkSession.createDataFrame([], _HITS + ", rank int")
-        hits = _topk_broadcast(sample, corpus, k)
+        hits = _topk_broadcast(some.to_pandas(), corpus, k)
     else:
         hits = _topk_blocks(asked, corpus, k, asked.count(), block)
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("vec_id")], k, rank="rank")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Adaptive execution stays on: skewed join partitions are split, small shuffle
-# partitions are merged, and small join sides become broadcasts at run time.
+# partitions are merged, and small join sides become broadcasts at run time. With merging on,
+# the number of shuffle partitions can be set for the largest shuffle.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
