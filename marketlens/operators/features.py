@@ -59,24 +59,39 @@ def lag_features(bars: DataFrame, lags: int = 5, width: int = 7, complete: bool
     return out.na.drop("any") if complete else out
 
 
+def _moments(columns: Sequence[str]) -> list[Column]:
+    return [m for c in columns for m in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))]
+
+
+def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean and population standard deviation of some columns: one row."""
+    return df.agg(*_moments(columns))
+
+
+def as_value(one_row: DataFrame) -> Column:
+    """A one-row frame as a struct value (a scalar subquery)."""
+    return one_row.select(F.struct("*").alias("v")).scalar()
+
+
+def z_score(value: Column, mean: Column, spread: Column) -> Column:
+    """(x - mean) / spread; a constant column becomes 0."""
+    return (value - mean) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
+
+
 def standardize(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None,
-                by: str | None = None) -> DataFrame:
-    """(x - mean) / population standard deviation; a constant column becomes 0.
+                by: str | None = None, moments: DataFrame | None = None) -> DataFrame:
+    """Standardise columns with the moments of all rows, or of those where `fit_on` holds.
 
-    Statistics come from all rows, or from those where `fit_on` holds. Without `by`
-    they are one scalar subquery; with `by` they are joined per group.
+    Without `by` the moments are one scalar subquery (`moments` passes stored ones); with `by`
+    they are joined per group.
     """
     source = df.where(fit_on) if fit_on is not None else df
-    stats = [s for c in columns for s in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))]
     if by is None:
-        fitted = source.agg(*stats).select(F.struct("*").alias("s")).scalar()
-        base, pick = df.withColumn("_fit", fitted), lambda name: F.col("_fit").getField(name)
+        fitted = moments if moments is not None else column_moments(source, columns)
+        base, pick = df.withColumn("_fit", as_value(fitted)), lambda name: F.col("_fit").getField(name)
     else:
-        base, pick = df.join(source.groupBy(by).agg(*stats), by, "left"), F.col
-    scaled = {}
-    for c in columns:
-        spread = pick(f"std_{c}")
-        scaled[c] = (F.col(c) - pick(f"mean_{c}")) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
+        base, pick = df.join(source.groupBy(by).agg(*_moments(columns)), by, "left"), F.col
+    scaled = {c: z_score(F.col(c), pick(f"mean_{c}"), pick(f"std_{c}")) for c in columns}
     return base.withColumns(scaled).select(*df.columns)
 
 

@@ -9,9 +9,10 @@ them. `fit_each` trains one model per symbol for a handful of symbols.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -116,7 +117,7 @@ class Forecaster:
         if self.means is None:
             return rows
         names = [c for c in self.means.columns if c != "symbol"]
-        overall = self.means.agg(*[F.avg(c).alias(c) for c in names]).select(F.struct("*").alias("m")).scalar()
+        overall = X.as_value(self.means.agg(*[F.avg(c).alias(c) for c in names]))
         joined = rows.join(self.means, "symbol", "left").withColumn("_overall", overall)
         return joined.withColumns({c: F.coalesce(F.col(c), F.col("_overall")[c]) for c in names}).drop("_overall")
 
@@ -132,6 +133,20 @@ class Forecaster:
         return out.drop("features")
 
 
+def _fit_targets(rows: DataFrame, kind: str, targets: Sequence[str], settings: dict) -> dict[str, Model]:
+    """Fit the targets side by side on the same stored rows: their small jobs fill each other's gaps."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(target: str) -> Model:
+        return ESTIMATORS[kind](target, **settings).fit(rows)
+
+    try:
+        with ThreadPoolExecutor(len(targets)) as pool:
+            return dict(zip(targets, pool.map(inheritable_thread_target(rows.sparkSession)(fit), targets)))
+    finally:
+        rows.unpersist()
+
+
 def fit_pooled(train: DataFrame, inputs: Sequence[str], kind: str = "rf", targets: Sequence[str] = TARGETS,
                pooled: bool = True, **settings) -> Forecaster:
     """Fit one model per target over all rows; both read the same stored training vectors.
@@ -143,12 +158,7 @@ def fit_pooled(train: DataFrame, inputs: Sequence[str], kind: str = "rf", target
         means = staged(train.groupBy("symbol").agg(*[F.avg(t).alias(f"symbol_{t}") for t in targets]), "means")
     out = Forecaster({}, list(inputs), means)
     labels = [F.col(t).cast("double").alias(t) for t in targets]
-    rows = out.assemble(out.prepare(train)).select("features", *labels).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for target in targets:
-            out.models[target] = ESTIMATORS[kind](target, **settings).fit(rows)
-    finally:
-        rows.unpersist()
+    out.models = _fit_targets(out.assemble(out.prepare(train)).select("features", *labels), kind, targets, settings)
     return out
 
 
@@ -170,12 +180,12 @@ def _known(df: DataFrame, as_of: str) -> DataFrame:
 
 # --- boosted trees: predictions fed back ---------------------------------------------
 
-def forecast_recursive(train: DataFrame, newest: DataFrame, raw: DataFrame, as_of: str, kind: str = "gbt",
+def forecast_recursive(train: DataFrame, newest: DataFrame, moments: DataFrame, as_of: str, kind: str = "gbt",
                        days: int = FORECAST_DAYS, **settings) -> DataFrame:
     """Predict day by day, feeding each prediction into the two rolling-mean inputs.
 
-    `train` and `newest` hold standardised features, `raw` the features before that: a
-    prediction is standardised with the statistics of `raw`, then scaled per symbol as the inputs are.
+    `train` and `newest` hold features standardised with `moments`. A prediction is standardised
+    with them too, then scaled per symbol as the inputs are.
     """
     inputs = X.feature_columns(train.columns)
     known = _known(train, as_of)
@@ -184,18 +194,15 @@ def forecast_recursive(train: DataFrame, newest: DataFrame, raw: DataFrame, as_o
     fitted = fit_pooled(scaled, inputs, kind, **settings)
 
     fed = {"close": "close_7d_avg", "volume": "volume_7d_avg"}
-    moments = [m for c in fed.values() for m in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))]
-    level = raw.agg(*moments).select(F.struct("*").alias("s")).scalar()
     rows = (
         fitted.prepare(X.last_row(_known(newest, as_of))).join(limits, "symbol")
         .withColumns({c: X.unit_scale(F.col(c), F.col(f"min_{c}"), F.col(f"max_{c}")) for c in inputs})
-        .withColumn("_level", level)
+        .withColumn("_level", X.as_value(moments))
     )
 
     def as_input(target: str, prediction: Column) -> Column:
         c = fed[target]
-        spread = F.col("_level")[f"std_{c}"]
-        standard = (prediction - F.col("_level")[f"mean_{c}"]) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
+        standard = X.z_score(prediction, F.col("_level")[f"mean_{c}"], F.col("_level")[f"std_{c}"])
         return X.unit_scale(standard, F.col(f"min_{c}"), F.col(f"max_{c}"))
 
     steps = []
@@ -229,11 +236,18 @@ def _flat(sequence: Column) -> Column:
     return array_to_vector(values)
 
 
-def scaled_bars(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bars with close and volume scaled to [0, 1] per symbol, and the statistics used."""
-    typed = bars.withColumn("volume", F.col("volume").cast("double"))
-    limits = X.minmax_stats(typed, ["close", "volume"])
-    return X.minmax_scale(typed, ["close", "volume"], stats=limits), limits
+def _typed(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("volume", F.col("volume").cast("double"))
+
+
+def bar_limits(bars: DataFrame) -> DataFrame:
+    """Minimum and maximum of close and volume per symbol."""
+    return X.minmax_stats(_typed(bars), ["close", "volume"])
+
+
+def scaled_bars(bars: DataFrame, limits: DataFrame) -> DataFrame:
+    """Bars with close and volume scaled to [0, 1] per symbol."""
+    return X.minmax_scale(_typed(bars), ["close", "volume"], stats=limits)
 
 
 def fit_sequences(train: DataFrame, kind: str = "linear", **settings) -> Forecaster:
@@ -241,12 +255,8 @@ def fit_sequences(train: DataFrame, kind: str = "linear", **settings) -> Forecas
     rows = train.select(
         _flat(F.col("sequence")).alias("features"),
         F.col("target_close").alias("close"), F.col("target_volume").alias("volume"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        models = {t: ESTIMATORS[kind](t, **settings).fit(rows) for t in TARGETS}
-    finally:
-        rows.unpersist()
-    return Forecaster(models, ["sequence"], None)
+    )
+    return Forecaster(_fit_targets(rows, kind, TARGETS, settings), ["sequence"], None)
 
 
 def predict_sequences(fitted: Forecaster, windows: DataFrame) -> DataFrame:

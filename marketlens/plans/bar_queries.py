@@ -383,7 +383,7 @@ _ZS = ", ".join(
 
 @query("standardize", FEATURES + f"SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, {_Z} FROM features")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, scaled = jobs.scaled_features(views.trades(spark, sf_dir))
+    scaled, _ = jobs.scaled_features(views.trades(spark, sf_dir))
     return _rounded(scaled, SCALED, 4).select("symbol", "trade_date", *SCALED)
 
 
@@ -409,7 +409,9 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("minmax_inverse", BARS + """
 SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, "close", CAST(volume AS DOUBLE) AS volume FROM trades""")
 def minmax_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled, limits = forecast.scaled_bars(views.trades(spark, sf_dir))
+    bars = views.trades(spark, sf_dir)
+    limits = forecast.bar_limits(bars)
+    scaled = forecast.scaled_bars(bars, limits)
     restored = X.minmax_inverse(scaled.select("symbol", "trade_date", "close", "volume"), ["close", "volume"], limits)
     return _rounded(restored, ["close", "volume"], 2)
 

@@ -34,19 +34,21 @@ def load_trades(spark: SparkSession, landing_path: str, table: str, start: str =
 
 
 def build_features(bars: DataFrame) -> DataFrame:
-    """Cleaned trades to raw features (before scaling)."""
-    return X.lag_features(series.clean_table(bars, keep=bars.columns))
+    """Cleaned trades to raw features (before scaling). The clean bars are written first: features read them twice."""
+    return X.lag_features(staged(series.clean_table(bars, keep=bars.columns), "clean-bars"))
 
 
 def scaled_features(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw and standardised features. The raw ones are written first: scaling reads them twice."""
+    """Standardised features, and the moments they were scaled with. Raw features and moments are written first."""
     raw = staged(build_features(bars), "features")
-    return raw, X.standardize(raw, X.scaled_columns(raw.columns))
+    columns = X.scaled_columns(raw.columns)
+    moments = staged(X.column_moments(raw, columns), "moments")
+    return X.standardize(raw, columns, moments=moments), moments
 
 
 def store_features(bars: DataFrame, path: str, run_ts: str, seed: int = 42) -> None:
     """Standardised features with split labels, as one run of a snapshot table."""
-    _, scaled = scaled_features(bars)
+    scaled, _ = scaled_features(bars)
     sinks.write_snapshot(X.random_split(scaled, ["symbol", "trade_date"], seed), path, run_ts)
 
 
@@ -58,13 +60,12 @@ def forecast_trades(bars: DataFrame, as_of: str, models: dict[str, dict] | None
     wanted = models if models is not None else {"rf": {}, "gbt": {}, "seq_a": {}, "seq_b": {"rounds": 10, "depth": 4}}
     out = {}
     if {"rf", "gbt"} & set(wanted):
-        raw, scaled = scaled_features(bars)
-        scaled = staged(X.random_split(scaled, ["symbol", "trade_date"]), "scaled")
-        train, newest = scaled.where(F.col("split") == "train").drop("split"), scaled.drop("split")
+        newest, moments = scaled_features(bars)
+        train = X.random_split(newest, ["symbol", "trade_date"]).where(F.col("split") == "train").drop("split")
         if "rf" in wanted:
             out["rf"] = forecast.forecast_flat(train, newest, as_of, **wanted["rf"])
         if "gbt" in wanted:
-            out["gbt"] = forecast.forecast_recursive(train, newest, raw, as_of, **wanted["gbt"])
+            out["gbt"] = forecast.forecast_recursive(train, newest, moments, as_of, **wanted["gbt"])
     sequences = [name for name in SEQUENCE_KINDS if name in wanted]
     parts = SequenceParts(bars) if sequences else None
     for name in sequences:
@@ -87,8 +88,9 @@ class SequenceParts:
     """Scaled bars, their limits, and the windows before and after the split in time."""
 
     def __init__(self, bars: DataFrame) -> None:
-        scaled, limits = forecast.scaled_bars(series.dedup_bar_first(bars))
-        self.scaled, self.limits = staged(scaled, "scaled-bars"), staged(limits, "limits")
+        first = staged(series.dedup_bar_first(bars), "first-bars")
+        self.limits = staged(forecast.bar_limits(first), "limits")
+        self.scaled = forecast.scaled_bars(first, self.limits)
         windows = X.chrono_split(X.sequence_windows(self.scaled))
         self.train = windows.where(F.col("split") == "train")
         self.test = windows.where(F.col("split") == "test")
