@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from marketlens.functions import values as V
 from marketlens.operators.ranked import keep_first
 
+# Fixed value: card format.
+CARD = "Headline: %s\nSummary: %s\nSentiment: %s"
 NEWS_KEY = ["headline", "summary", "source", "published_at"]
 
 # Words of a lexicon that is sent along with the scoring tasks, and its hash buckets.
@@ -174,10 +176,7 @@ def article_card(news: DataFrame, position: int, order: Sequence[Column] | None
     # Sorting with a limit first keeps the final numbering to position + 1 rows.
     upto = news.orderBy(*first).limit(position + 1)
     numbered = upto.withColumn("_n", F.row_number().over(Window.orderBy(*first)))
-    card = F.format_string(
-        "Headline: %s\nSummary: %s\nSentiment: %s",
-        F.col("headline"), F.col("summary"), F.col("custom_sentiment_label"),
-    )
+    card = F.format_string(CARD, F.col("headline"), F.col("summary"), F.col("custom_sentiment_label"))
     return numbered.where(F.col("_n") == position + 1).select(
         "headline",
         V.timestamp_text(F.col("published_at")).alias("published_text"),

@@ -31,6 +31,9 @@ FIELD_PHRASES = {
 HORIZON_PHRASES = [("1 day", 1), ("tomorrow", 1), ("3 days", 3), ("5 days", 5), ("next five days", 5)]
 DEFAULT_HORIZON = 5
 MAX_HORIZON = 5
+# Caption formats.
+AHEAD_CAPTION = "Predictions for %s (Next %d Days)"
+BACK_CAPTION = "%s for %s (Last %d Days)"
 
 
 def _first_match(text: Column, choices: Sequence[tuple[str, object]]) -> Column:
@@ -83,8 +86,8 @@ def route_questions(questions: DataFrame, names: Mapping[str, str] = STOCK_NAMES
     routed = routed.withColumn(
         "route", F.when(forward, "prediction").when(backward, "history").otherwise("free_text")
     )
-    ahead = F.format_string("Predictions for %s (Next %d Days)", F.upper("symbol"), F.col("days"))
-    back = F.format_string("%s for %s (Last %d Days)", F.initcap("field"), F.upper("symbol"), F.col("days"))
+    ahead = F.format_string(AHEAD_CAPTION, F.upper("symbol"), F.col("days"))
+    back = F.format_string(BACK_CAPTION, F.initcap("field"), F.upper("symbol"), F.col("days"))
     return routed.withColumn(
         "caption", F.when(F.col("route") == "prediction", ahead).when(F.col("route") == "history", back)
     )

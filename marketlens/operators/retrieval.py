@@ -20,9 +20,11 @@ from marketlens.operators.ranked import top_k
 # The scoring functions are sent with the tasks, so that workers need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Chunk size and overlap in characters, and the stored vector width.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 400
 VECTOR_WIDTH = 1536
+# Fixed value: stands for a page without text.
 EMPTY_PAGE = "[Unable to extract text from this page]"
 
 # Vectors of one broadcast, and of one block of the shuffled form.

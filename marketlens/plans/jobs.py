@@ -12,7 +12,6 @@ from marketlens.operators import filings, forecast, news, questions, retrieval,
 from marketlens.sources import landing, sinks
 from marketlens.sources.scratch import staged
 
-
 # Sequence models by the name their predictions are stored under.
 SEQUENCE_KINDS = {"seq_a": "linear", "seq_b": "gbt"}
 
