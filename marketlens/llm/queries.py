@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import language_id, mixing, secret_scan, url_filters
+from marketlens.llm import byte_bpe, jaccard_join, language_id, mixing, secret_scan, url_filters
 from marketlens.llm.texts import held_out
 from marketlens.plans.registry import query
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def rank_file(name: str = RANKS) -> bytes:
+    import public_tokenizers
+
+    return byte_bpe.load_ranks(public_tokenizers.path(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,3 +62,15 @@ def identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     rows = language_id.predict(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_jaccard_join")
+def join_by_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_byte_bpe")
+def encode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.digests(docs, rank_file()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

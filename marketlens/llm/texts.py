@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.shipping import ship
+
 #: Rows and bytes of one Arrow batch, so that very long texts do not pile up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: Bytes that are worked on at once; a single text may be longer.
@@ -16,7 +18,8 @@ CHUNK_BYTES = 1 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the Arrow batches that Python workers get in this session."""
+    """Bound the Arrow batches that Python workers get in this session, and let them find this package."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
