@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import byte_bpe, jaccard_join, language_id, mixing, secret_scan, url_filters
+from marketlens.llm import (
+    ann_graph,
+    byte_bpe,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    mixing,
+    secret_scan,
+    suffix_dedup,
+    toxicity,
+    url_filters,
+)
 from marketlens.llm.texts import held_out
 from marketlens.plans.registry import query
 
@@ -74,3 +85,27 @@ def join_by_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.digests(docs, rank_file()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op3_toxicity")
+def score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op7_suffix_dedup")
+def remove_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_graph.search(rows, rows.where(F.pmod(F.col("vec_id"), F.lit(20)) == 0))
+
+
+@query("op10_embedding_dedup")
+def near_duplicate_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.classes(rows).select("vec_id", "n_links", "component_id", "kept")

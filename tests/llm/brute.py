@@ -33,3 +33,20 @@ def jaccard_classes(rows, percent=90):
             if same and 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
                 links.append((a, b))
     return {i: (len(sets[i]), c) for i, c in joined(ids, links).items()}
+
+
+def kept_bytes(rows, length=100):
+    """doc_id -> (bytes, removed, runs, kept) by looking up every window."""
+    seen, out = {}, {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - length + 1):
+            w = raw[p : p + length]
+            if w in seen:
+                gone[p : p + length] = b"\x01" * length
+            else:
+                seen[w] = (i, p)
+        runs = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out[i] = (len(raw), sum(gone), runs, bytes(b for b, g in zip(raw, gone) if not g))
+    return out
