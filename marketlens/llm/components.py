@@ -10,13 +10,15 @@ from marketlens.sources.scratch import staged
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked with the least node around it."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # One shuffle by node serves both the least neighbours and their join.
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("b"), F.col("m").alias("a")).where("a < b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and all its neighbours below are linked with the least of them."""
+    links = links.repartition("b")
     least = links.groupBy("b").agg(F.min("a").alias("m"))
     below = links.join(least, "b")
     moved = below.select(F.col("a").alias("b"), F.col("m").alias("a")).where("a < b")

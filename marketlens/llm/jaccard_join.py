@@ -4,11 +4,11 @@ Distances are Jaccard distances, a metric. Between unrelated texts they are all
 separates nothing there; the first partition is therefore made of cells that are exact by counting: a set's
 shingles are dealt to one more bucket than two linked sets can differ in, so linked sets
 agree in a whole bucket. Sets with an equal bucket share a cell; sets near a border of the size steps are replicated
-into the next step. Inside the cells pivots take over: each set is assigned to a pivot and keeps its
-distance to it (its Voronoi region). Sets further apart than the radius in that distance cannot be linked (triangle
-inequality), sets of one component need no comparison. What is still open is split again with new pivots
-until every cell is closed. Nothing is capped, and no cell emits all its pairs: a round
-compares a cell's sets with a few pivots only.
+into the next step. Inside the cells pivots take over: each set goes to one pivot (its Voronoi region), and the links
+found there form components. Sets of one component need no comparison. Cells that still hold several components
+are joined again by region, the cells around one component: every set is kept as its difference from the region's pivot,
+the set of what most members hold, from which all distances follow exactly. No pair is emitted but links that join
+components, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.components import components
@@ -28,8 +28,8 @@ from marketlens.sources.scratch import staged
 
 WORDS_PER_SHINGLE = 3
 PERCENT = 90
-#: Pivots of a cell in the first round that splits it again; four times as many in each later round.
-PIVOTS = 16
+#: Sets of one part of a region, and differences that are compared at once.
+BLOCK, _COLUMNS = 512, 4096
 _SCHEMES = 4
 _MIXERS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -42,7 +42,7 @@ def shingle_sets(column: pa.Array, width: int = WORDS_PER_SHINGLE) -> Iterator[n
         words = span_hashes(prefix_hashes(data), starts, ends)
         total = np.zeros(max(0, len(words) - width + 1), np.uint64)
         for k in range(width):
-            total += mixed(words[k : k + len(total)] + _MIXERS[0] * np.uint64(k + 1)) * _MIXERS[k % 6]
+            total += mixed(words[k : k + len(total)] + np.uint64(k + 1)) * _MIXERS[k % 6]
         shingles = mixed(total)
         for i in range(last - first):
             a, b = place[i], place[i + 1]
@@ -171,6 +171,91 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return staged(joined.mapInArrow(run, "a long, b long, same long, together long"), "jaccard-verified")
 
 
+def block_links(sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different groups, as many as it takes to join those groups.
+
+    The pivot is the set of what most sets of the block hold. Sets are kept as their differences from it, and the difference
+    of two sets follows from the sizes of theirs and what these share.
+    """
+    m, sizes = len(sets), np.array([len(h) for h in sets])
+    row = np.repeat(np.arange(m), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    pivot = 2 * count > m
+    lacking = pivot.sum() - np.bincount(row, weights=pivot[column], minlength=m)
+    differ = lacking + np.bincount(row, weights=~pivot[column], minlength=m)
+    # Only differences that two sets can share need a column.
+    used = np.flatnonzero(np.where(pivot, m - count, count) > 1)
+    place = np.full(len(count), -1)
+    place[used] = np.arange(len(used))
+    at = place[column]
+    order = np.argsort(at, kind="stable")
+    at, by = at[order], row[order]
+    shared = np.zeros((m, m), np.float32)
+    for first in range(0, len(used), _COLUMNS):
+        low, high = np.searchsorted(at, [first, first + _COLUMNS])
+        part = used[first : first + _COLUMNS]
+        d = np.zeros((m, len(part)), np.float32)
+        d[by[low:high], at[low:high] - first] = 1
+        d[:, pivot[part]] = 1 - d[:, pivot[part]]
+        shared += d @ d.T
+    apart = differ[:, None] + differ[None, :] - 2 * shared
+    both = sizes[:, None] + sizes[None, :]
+    near = (100 * (both - apart) >= percent * (both + apart)) & (group[:, None] != group[None, :])
+    near &= np.where(side.any(), (side[:, None] == 1) & (side[None, :] == 2), np.triu(np.ones((m, m), bool), 1))
+    up = {int(g): int(g) for g in group}
+
+    def root(g: int) -> int:
+        while up[g] != g:
+            up[g] = up[up[g]]
+            g = up[g]
+        return g
+
+    out = []
+    for i, j in zip(*np.nonzero(near)):
+        a, b = root(int(group[i])), root(int(group[j]))
+        if a != b:
+            up[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def _region_links(region: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """Links inside each region. A large region is dealt to parts, and every two parts meet in a block of their own."""
+    parts = region.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = region.join(parts, "region").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select("region", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), side.alias("side"), "component", "node")
+    block = ["region", "low", "high"]
+    rows = dealt.join(contents, "node").repartition(*block).sortWithinPartitions(*block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def finish() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            lists = t.column("hashes").chunk(0)
+            flat, cuts = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
+            nodes = t.column("node").to_numpy()
+            found = block_links([flat[a:b] for a, b in zip(cuts, cuts[1:])], t.column("side").to_numpy(), t.column("component").to_numpy(), percent)
+            a, b = ([nodes[x[k]] for x in found] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in block)))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for i, j in zip(cuts, cuts[1:]):
+                if keys[i] != now and held:
+                    yield finish()
+                    held = []
+                now = keys[i]
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield finish()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) for every row of `docs`.
 
@@ -183,52 +268,49 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHIN
     alike = staged(alike, "jaccard-alike")
 
     # The cells that more than one set falls into.
-    dealt = rows.select("doc_id", "n", "one", "two", "signatures").join(alike, ["n", "one", "two"]).where("doc_id = node")
-    dealt = staged(dealt.select("node", "n", F.explode("signatures").alias("cell")), "jaccard-cells")
+    stand_ins = rows.select("doc_id", "n", "one", "two", "signatures").join(alike, ["n", "one", "two"]).where("doc_id = node")
+    stand_ins = staged(stand_ins.select("node", "n", "signatures"), "jaccard-nodes")
+    dealt = stand_ins.select("node", F.explode("signatures").alias("cell"))
     shared = dealt.groupBy("cell").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("cell", "pivot")
-    members = staged(dealt.join(shared, "cell").select("cell", "pivot", "node", "n").distinct(), "jaccard-members")
-    nodes = members.select("node", "n").distinct()
-    contents = staged(_contents(docs, nodes.select("node"), width), "jaccard-contents")
-
-    # Voronoi regions: every set goes to the pivot of its first cell; sets alike tend to agree on that cell.
-    assigned = members.where("node <> pivot").groupBy("node").agg(F.min(F.struct("cell", "pivot")).alias("m")).select("node", F.col("m.pivot").alias("pivot"))
-    assigned = staged(assigned, "jaccard-regions")
-    sizes = nodes.groupBy("node").agg(F.min("n").alias("n"))
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link."""
-        return pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-
-    first = assigned.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    checked = _verified(first, contents)
-    distance = 1 - F.col("same") / F.col("together")
-    region = checked.select(F.col("b").alias("node"), F.col("a").alias("region"), distance.alias("d"))
+    members = staged(dealt.join(shared, "cell").select("cell", "pivot", "node").distinct(), "jaccard-members")
+    contents = staged(_contents(docs, members.select("node").distinct(), width), "jaccard-contents")
+
+    # Regions: every set goes to the pivot of its first cell; sets alike tend to agree on that cell.
+    first = members.where("node <> pivot").groupBy("node").agg(F.min(F.struct("cell", "pivot")).alias("m"))
+    checked = _verified(first.select(F.col("m.pivot").alias("a"), F.col("node").alias("b")), contents)
     linked = 100 * F.col("same") >= percent * F.col("together")
     links = checked.where(linked).select("a", "b")
-    members = members.select("cell", "node").join(sizes, "node").join(region, "node", "left")
-    open_members, radius, most = staged(members, "jaccard-open"), 1 - percent / 100, PIVOTS
-    while True:
-        component = components(links)
-        now = open_members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    component = components(links)
+    sizes = stand_ins.groupBy("node").agg(F.min("n").alias("n"))
+
+    def still_open(rest: DataFrame) -> DataFrame:
+        """Members of the cells that hold several components, with their component and the cell's largest one."""
+        now = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         counts = now.groupBy("cell", "component").agg(F.count("*").alias("n_of"))
         cells = counts.groupBy("cell").agg(F.max(F.struct("n_of", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        now = staged(now.join(cells.select("cell", F.col("main.component").alias("main")), "cell"), "jaccard-open")
-        if now.isEmpty():
-            break
-        place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node"), "node"))
-        pivots = staged(now.where("component <> main").withColumn("place", place).where(F.col("place") <= most).drop("place", "main"), "jaccard-pivots")
-        one = pivots.select("cell", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "region", "d", "component")])
-        two = now.select("cell", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "region", "d", "component")])
-        pairs = fitting(one.join(two, "cell").where("component_a <> component_b"))
-        # Two sets of one region are linked only if their distances to its pivot are a radius apart at most.
-        apart = (F.col("region_a") == F.col("region_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > radius + 1e-9)
-        pairs = pairs.where(~F.coalesce(apart, F.lit(False))).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        new = _verified(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), contents)
-        checked = checked.select("a", "b").unionByName(new.select("a", "b"))
-        links = staged(links.unionByName(new.where(linked).select("a", "b")), "jaccard-links")
-        # A pivot has met every set of its cell outside its component, so it is closed there.
-        open_members = staged(now.drop("component", "main").join(pivots.select("cell", "node"), ["cell", "node"], "left_anti"), "jaccard-open")
-        most *= 4
+        return staged(now.join(cells.select("cell", F.col("main.component").alias("main")), "cell"), "jaccard-open")
+
+    def unseen(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+
+    def fitting(one: str, two: str) -> Column:
+        """Sizes that allow a link."""
+        return 100 * F.least(one, two) >= percent * F.greatest(one, two)
+
+    # Cells that hold several components: to close most of them early, the sets outside a cell's largest component
+    # meet one of that component's sets in each of their cells.
+    now = still_open(members.select("cell", "node")).join(sizes, "node")
+    contents = staged(contents.join(now.select("node").distinct(), "node", "left_semi"), "jaccard-contents")
+    probe = now.where("component = main").groupBy("cell").agg(F.min(F.struct(F.xxhash64("cell", "node"), "node", "n")).alias("m")).select("cell", F.col("m.node").alias("a"), F.col("m.n").alias("n_a"))
+    probes = now.where("component <> main").select("cell", F.col("node").alias("b"), "n").join(probe, "cell").where(fitting("n", "n_a"))
+    links = staged(links.unionByName(_verified(unseen(probes), contents).where(linked).select("a", "b")), "jaccard-links")
+    component = components(links)
+
+    # What is still open is joined by region: the cells around one component, every set once.
+    region = still_open(now.select("cell", "node")).select(F.col("main").alias("region"), "node", "component").distinct()
+    links = staged(links.unionByName(_region_links(staged(region, "jaccard-regions"), contents, percent)), "jaccard-links")
+    component = components(links)
 
     whole = rows.select("doc_id", "n", "one", "two").join(alike, ["n", "one", "two"], "left").join(component, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))

@@ -62,3 +62,13 @@ def test_components(spark):
     nodes = {n for pair in links for n in pair if pair[0] != pair[1]}
     assert got == {n: c for n, c in joined(nodes, [x for x in links if x[0] != x[1]]).items()}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("block", [5, 40])
+def test_regions_in_parts(docs_of, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "_COLUMNS", 7)
+    rng = random.Random(block)
+    base = [f"b{i}" for i in range(100)]
+    rows = list(enumerate(near_copies(rng, base, 120, 9)))
+    assert found(docs_of(rows)) == jaccard_classes(rows)
