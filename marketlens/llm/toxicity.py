@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     meets texts that the counts have not seen; the model itself has the counts of all.
     """
     marks = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = small_batches(docs).select("doc_id", "text").join(marks, "doc_id").select("doc_id", "text", "toxic", (fold(F.col("doc_id")) == 4).cast("int").alias("part"))
+    # One kind of join at every size: the texts that can be learned from are shuffled once, the labels never broadcast.
+    rows = small_batches(docs).select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(marks.hint("merge"), "doc_id").select("doc_id", "text", "toxic", (fold(F.col("doc_id")) == 4).cast("int").alias("part"))
     rows = staged(rows, "toxic-learn")
     found = staged(_counts(rows), "toxic-counts").toPandas()  # 4 x GRAMS rows at most
     counts = np.zeros((2, 2, GRAMS), np.int64)
