@@ -38,8 +38,9 @@ def is_fractional(value: Column) -> Column:
 
 
 def to_date(raw: Column) -> Column:
-    """ISO text to date; anything else becomes NULL and the row is kept."""
-    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(raw, 1, 10).try_cast("date"))
+    """ISO text to date, a time behind it allowed; anything else becomes NULL and the row is kept."""
+    timed = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), F.when(raw.try_cast("timestamp").isNotNull(), F.substring(raw, 1, 10).try_cast("date")))
+    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw.try_cast("date")).otherwise(timed)
 
 
 def to_published(raw: Column) -> Column:

@@ -23,7 +23,7 @@ def top_k(df: DataFrame, by: Sequence[str | Column], order: Sequence[Column], k:
 def row_digest(*columns: str | Column) -> Column:
     """Fixed-width digest of some columns, NULLs included: a short stand-in for long text keys."""
     cols = [F.col(c) if isinstance(c, str) else c for c in columns]
-    record = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    record = F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     return F.unhex(F.sha2(record, 256))
 
 
