@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.texts import chunked, prefix_hashes, small_batches, span_hashes
+from marketlens.llm.texts import chunked, give_back, prefix_hashes, small_batches, span_hashes
 
 #: Words of more bytes are contracted with a heap: a query step for each merge would take the square of their length.
 LONG_WORD = 64
@@ -124,16 +124,29 @@ class Merges:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, made = (np.array(x, np.int32) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int32),) * 3
-        self.db = duckdb.connect()
-        for setting in ("threads = 1", "memory_limit = '400MB'", "temp_directory = ''", "preserve_insertion_order = false"):
-            self.db.execute(f"SET {setting}")
-        self.db.register("given", pa.table({"a": a, "b": b, "made": made}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.db.register("given", pa.table({"id": np.arange(top, dtype=np.int32), "hex": [t.hex() for t in self.tokens]}))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.db.unregister("given")
+        self.merges = pa.table({"a": a, "b": b, "made": made})
+        self._db: duckdb.DuckDBPyConnection | None = None
         self._forget()
 
+    @property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        if self._db is None:
+            self._db = duckdb.connect()
+            for setting in ("threads = 1", "memory_limit = '400MB'", "temp_directory = ''", "preserve_insertion_order = false"):
+                self._db.execute(f"SET {setting}")
+            self._db.register("given", self.merges)
+            self._db.execute("CREATE TABLE merges AS SELECT * FROM given")
+            self._db.register("given", pa.table({"id": np.arange(len(self.tokens), dtype=np.int32), "hex": [t.hex() for t in self.tokens]}))
+            self._db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
+            self._db.unregister("given")
+        return self._db
+
+    def rest(self) -> None:
+        """Close the database at the end of a task: Spark keeps idle workers, and their memory counts. Words stay known."""
+        if self._db is not None:
+            self._db.close()
+            self._db = None
+
     def _forget(self) -> None:
         self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
@@ -258,8 +271,13 @@ def _with(docs: DataFrame, text: str, fields: list[T.StructField], make) -> Data
     schema = T.StructType([*[f for f in docs.schema if f.name in kept], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *make(batch.column(text))], names=[*kept, *names])
+        try:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *make(batch.column(text))], names=[*kept, *names])
+        finally:
+            for merges in _loaded.values():
+                merges.rest()
+            give_back()
 
     return small_batches(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))).mapInArrow(run, schema)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system, since Spark keeps the worker for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 offsets of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
