@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import values as V
-from marketlens.operators.ranked import keep_first
+from marketlens.operators.ranked import keep_first, row_digest
 
 # Fixed value: card format.
 CARD = "Headline: %s\nSummary: %s\nSentiment: %s"
@@ -44,16 +44,27 @@ def _clip(value: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
 
 
-def lexicon_polarity(articles: DataFrame, lexicon: DataFrame, key: str, text: str = "summary",
+def lexicon_polarity(articles: DataFrame, lexicon: DataFrame, text: str = "summary",
                      score: str = "custom_sentiment_score", inline_limit: int = INLINE_LEXICON) -> DataFrame:
     """Mean polarity in [-1, 1] of the lexicon words of a text; 0 where there is none.
 
-    A lexicon of up to `inline_limit` words goes along as one value, and texts are scored
-    where they are, without a shuffle. A larger one is joined word by word.
+    A word that the lexicon repeats counts with the mean of its entries, separately as a rated word and as a
+    modifier. A lexicon of up to `inline_limit` words goes along as one value, and texts are scored
+    where they are, without a shuffle. A larger one is joined word by word. Both give the same scores.
     """
-    if lexicon.limit(inline_limit + 1).count() <= inline_limit:
-        return _polarity_in_place(articles, lexicon, text, score)
-    return _polarity_by_join(articles, lexicon, key, text, score)
+    entries = _word_entries(lexicon)
+    if entries.limit(inline_limit + 1).count() <= inline_limit:
+        return _polarity_in_place(articles, entries, text, score)
+    return _polarity_by_join(articles, entries, text, score)
+
+
+def _word_entries(lexicon: DataFrame) -> DataFrame:
+    """One row per word: its polarity if it is rated, its intensity if it modifies the word after it."""
+    rated = F.col("polarity") != 0
+    return lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(
+        F.avg(F.when(rated, F.col("polarity"))).alias("polarity"),
+        F.avg(F.when(~rated, F.col("intensity"))).alias("intensity"),
+    )
 
 
 def _polarity_in_place(articles: DataFrame, lexicon: DataFrame, text: str, score: str) -> DataFrame:
@@ -74,34 +85,40 @@ def _polarity_in_place(articles: DataFrame, lexicon: DataFrame, text: str, score
     words, entries = F.col("_found_words"), F.col("_entries")
 
     def value(found: Column, at: Column) -> Column:
-        before = F.when(at > 0, F.get(entries, at - 1))
-        scale = F.when(before["polarity"] == 0, before["intensity"])
-        return F.when(found["polarity"] != 0, _clip(found["polarity"] * F.coalesce(scale, F.lit(1.0))))
+        scale = F.when(at > 0, F.get(entries, at - 1))["intensity"]
+        return _clip(found["polarity"] * F.coalesce(scale, F.lit(1.0)))
+
+    def rated(found: Column, at: Column) -> Column:
+        return F.when(found["polarity"].isNotNull(), value(found, at))
 
     looked_up = (
         articles.withColumns({"_found_words": _words(F.col(text)), "_lexicon": table})
         .withColumn("_entries", F.transform(words, entry))
-        .withColumn("_values", F.array_compact(F.transform(entries, value)))
+        .withColumn("_values", F.array_compact(F.transform(entries, rated)))
     )
     total = F.aggregate("_values", F.lit(0.0), lambda s, v: s + v)
     mean = F.when(F.size("_values") > 0, total / F.size("_values")).otherwise(0.0)
     return looked_up.withColumn(score, mean).drop("_found_words", "_lexicon", "_entries", "_values")
 
 
-def _polarity_by_join(articles: DataFrame, lexicon: DataFrame, key: str, text: str, score: str) -> DataFrame:
+def _polarity_by_join(articles: DataFrame, lexicon: DataFrame, text: str, score: str) -> DataFrame:
+    # A score depends on the text alone, so each text is scored once, under its digest.
     # The word before is paired with each word inside the row, so that no window is needed.
-    # Lexicon hits are the only rows that go on, and they are summed per article before the shuffle.
+    # Lexicon hits are the only rows that go on, and they are summed per text before the shuffle.
     pairs = F.transform(
         F.col("_words"),
         lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get(F.col("_words"), i - 1)).alias("previous")),
     )
-    spoken = articles.select(key, _words(F.col(text)).alias("_words")).select(key, F.inline(pairs))
-    rated = lexicon.where(F.col("polarity") != 0).select("word", "polarity")
-    modifiers = lexicon.where(F.col("polarity") == 0).select(F.col("word").alias("previous"), "intensity")
+    keyed = articles.withColumn("_text", row_digest(text))
+    texts = keyed.groupBy("_text").agg(F.first(text).alias("_spoken"))
+    spoken = texts.select("_text", _words(F.col("_spoken")).alias("_words")).select("_text", F.inline(pairs))
+    rated = lexicon.where(F.col("polarity").isNotNull()).select("word", "polarity")
+    modifiers = lexicon.where(F.col("intensity").isNotNull()).select(F.col("word").alias("previous"), "intensity")
     hits = spoken.join(rated, "word").join(modifiers, "previous", "left")
     value = _clip(F.col("polarity") * F.coalesce(F.col("intensity"), F.lit(1.0)))
-    scores = hits.groupBy(key).agg(F.avg(value).alias(score))
-    return articles.join(scores, key, "left").withColumn(score, F.coalesce(F.col(score), F.lit(0.0)))
+    scores = hits.groupBy("_text").agg(F.avg(value).alias(score))
+    scored = keyed.join(scores, "_text", "left").withColumn(score, F.coalesce(F.col(score), F.lit(0.0)))
+    return scored.select(*articles.columns, score)
 
 
 def label_sentiment(df: DataFrame, score: str = "custom_sentiment_score",

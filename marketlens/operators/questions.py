@@ -30,7 +30,6 @@ FIELD_PHRASES = {
 # Horizon phrases in order of precedence, and the horizon without one.
 HORIZON_PHRASES = [("1 day", 1), ("tomorrow", 1), ("3 days", 3), ("5 days", 5), ("next five days", 5)]
 DEFAULT_HORIZON = 5
-MAX_HORIZON = 5
 # Caption formats.
 AHEAD_CAPTION = "Predictions for %s (Next %d Days)"
 BACK_CAPTION = "%s for %s (Last %d Days)"
@@ -114,25 +113,32 @@ def topk_predictions(predictions: DataFrame, symbol: str, k: int = 5, model: str
     return rows.select("trade_date", *PREDICTED).distinct().orderBy(*first).limit(k)
 
 
+def _most_days(asked: DataFrame) -> int:
+    """The longest horizon of any question."""
+    return asked.agg(F.max("days")).first()[0] or 0
+
+
 def answer_history(routed: DataFrame, bars: DataFrame) -> DataFrame:
     """Newest rows of the asked field for every history question.
 
     Bars are first cut to the few rows any question can ask for: per symbol the
-    newest dates, then per symbol and field the newest distinct values. Questions
+    newest dates (a missing one last), then per symbol and field the newest distinct values. Questions
     join that, so neither a hot symbol's bars nor its questions multiply.
     """
     fields = list(FIELD_PHRASES.values())
-    dated = bars.where(F.col("trade_date").isNotNull())
-    days = top_k(dated.select("symbol", "trade_date").distinct(), ["symbol"], [F.desc("trade_date")], MAX_HORIZON)
-    recent = dated.join(days, ["symbol", "trade_date"], "left_semi")
+    asked = routed.where(F.col("route") == "history").select("qid", "symbol", "field", "days")
+    most = _most_days(asked)
+    dates = bars.select(F.col("symbol").alias("_symbol"), F.col("trade_date").alias("_date")).distinct()
+    days = top_k(dates, ["_symbol"], [F.desc_nulls_last("_date")], most)
+    same = (F.col("symbol") == F.col("_symbol")) & F.col("trade_date").eqNullSafe(F.col("_date"))
+    recent = bars.join(days, same, "left_semi")
     long = recent.select(
         "symbol", "trade_date",
         F.inline(F.array(*[
             F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields
         ])),
     )
-    newest = latest_distinct(long, ["symbol", "field"], "trade_date", ["value"], MAX_HORIZON, rank="nth")
-    asked = routed.where(F.col("route") == "history").select("qid", "symbol", "field", "days")
+    newest = latest_distinct(long, ["symbol", "field"], "trade_date", ["value"], most, rank="nth")
     return (
         asked.join(newest, ["symbol", "field"])
         .where(F.col("nth") <= F.col("days"))
@@ -143,8 +149,8 @@ def answer_history(routed: DataFrame, bars: DataFrame) -> DataFrame:
 def answer_prediction(routed: DataFrame, predictions: DataFrame, model: str) -> DataFrame:
     """Earliest stored predictions of one model for every prediction question; a partitioned table is pruned by model."""
     chosen = predictions.where(F.col("model") == model)
-    earliest = latest_distinct(chosen, ["symbol"], "trade_date", PREDICTED, MAX_HORIZON, newest=False, rank="nth")
     asked = routed.where(F.col("route") == "prediction").select("qid", "symbol", "days")
+    earliest = latest_distinct(chosen, ["symbol"], "trade_date", PREDICTED, _most_days(asked), newest=False, rank="nth")
     return (
         asked.join(earliest, "symbol")
         .where(F.col("nth") <= F.col("days"))

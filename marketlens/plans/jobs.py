@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,35 @@ def bars_from_documents(docs: DataFrame, start: str = "2023-05-01") -> DataFrame
     return series.clean_trades(good)
 
 
+def rejected_bars(docs: DataFrame, start: str = "2023-05-01") -> DataFrame:
+    """What `bars_from_documents` leaves out, with a reason: documents without their key, bad numbers, fractional volumes, no symbol.
+
+    A row has symbol, date and values as the text they arrived in; a rejected document has only its symbol.
+    """
+    valid, gated = series.gate_documents(docs)
+    raw = series.flatten_series(series.filter_start_date(valid, start))
+    good, bad = series.split_bad_numbers(raw)
+    _, fractional = series.split_fractional_volume(good)
+    as_text = {c: F.col(c).cast("string") for c in X.BAR_VALUES}
+    nothing = {c: F.lit(None).cast("string") for c in ("date", *X.BAR_VALUES)}
+    whole, _ = series.split_fractional_volume(good)
+    parts = [
+        gated.select("symbol").withColumns(nothing).withColumn("reason", F.lit("document")),
+        bad.withColumn("reason", F.concat(F.lit("number: "), "bad_columns")),
+        fractional.withColumns(as_text).withColumn("reason", F.lit("volume")),
+        whole.where(F.col("symbol").isNull()).withColumns(as_text).withColumn("reason", F.lit("symbol")),
+    ]
+    columns = ["symbol", "date", *X.BAR_VALUES, "reason"]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+
+
 def load_trades(spark: SparkSession, landing_path: str, table: str, start: str = "2023-05-01",
-                lines: bool = False, name_pattern: str | None = None) -> None:
-    """Append the bars the table does not hold yet."""
+                lines: bool = False, name_pattern: str | None = None) -> DataFrame:
+    """Append the bars the table does not hold yet; returns what was set aside."""
     docs = landing.read_series(spark, landing_path, lines, name_pattern)
+    rejected = staged(rejected_bars(docs, start), "rejected-bars")
     sinks.append_new_rows(bars_from_documents(docs, start), table, ["symbol", "trade_date", *X.BAR_VALUES])
+    return rejected
 
 
 def build_features(bars: DataFrame) -> DataFrame:
@@ -102,20 +128,30 @@ def store_forecasts(forecasts: dict[str, DataFrame], table: str) -> None:
 
 # --- news ------------------------------------------------------------------------
 
+def _first_articles(feed: DataFrame) -> DataFrame:
+    shaped = news.project_news(feed, extra=["feed_symbol", "feed_pos"])
+    order = [F.asc("feed_pos"), F.asc_nulls_last("original_sentiment_score"), F.asc("original_sentiment_label")]
+    return news.keep_first(shaped, ["feed_symbol", *news.NEWS_KEY], order, long_keys=True)
+
+
 def news_from_feed(feed: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Feed items(feed_symbol, feed_pos, ...) to the typed, distinct news table."""
-    shaped = news.project_news(feed, extra=["feed_symbol", "feed_pos"])
-    first = news.keep_first(shaped, ["feed_symbol", *news.NEWS_KEY], [F.asc("feed_pos")], long_keys=True)
-    published, _ = news.split_unpublished(first)
-    keyed = published.withColumn("_id", F.concat_ws("/", "feed_symbol", F.col("feed_pos").cast("string")))
-    scored = news.label_sentiment(news.lexicon_polarity(keyed, lexicon, "_id"))
+    published, _ = news.split_unpublished(_first_articles(feed))
+    scored = news.label_sentiment(news.lexicon_polarity(published, lexicon))
     return sinks.conform(scored, S.NEWS_SENTIMENT).distinct()
 
 
-def load_news(feed: DataFrame, lexicon: DataFrame, table: str) -> None:
-    """Append to the news table and keep its rows distinct."""
+def rejected_news(feed: DataFrame) -> DataFrame:
+    """The articles that `news_from_feed` leaves out for want of a publication time that parses, as they arrived."""
+    return news.split_unpublished(_first_articles(feed))[1]
+
+
+def load_news(feed: DataFrame, lexicon: DataFrame, table: str) -> DataFrame:
+    """Append to the news table and keep its rows distinct; returns the articles that were set aside."""
+    rejected = staged(rejected_news(feed), "rejected-news")
     sinks.append_table(news_from_feed(feed, lexicon), table)
     sinks.dedup_table(feed.sparkSession, table)
+    return rejected
 
 
 # --- filings ---------------------------------------------------------------------

@@ -145,13 +145,13 @@ def split_unpublished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lexicon_polarity", POLARITY + "SELECT feed_pos, round(score, 6) AS custom_sentiment_score FROM polarity")
 def lexicon_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = N.lexicon_polarity(_shaped(spark, sf_dir), _lexicon(spark), "feed_pos")
+    scored = N.lexicon_polarity(_shaped(spark, sf_dir), _lexicon(spark))
     return scored.select("feed_pos", F.round("custom_sentiment_score", 6).alias("custom_sentiment_score"))
 
 
 @query("lexicon_polarity_join", POLARITY + "SELECT feed_pos, round(score, 6) AS custom_sentiment_score FROM polarity")
 def lexicon_polarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = N.lexicon_polarity(_shaped(spark, sf_dir), _lexicon(spark), "feed_pos", inline_limit=0)
+    scored = N.lexicon_polarity(_shaped(spark, sf_dir), _lexicon(spark), inline_limit=0)
     return scored.select("feed_pos", F.round("custom_sentiment_score", 6).alias("custom_sentiment_score"))
 
 
@@ -258,8 +258,22 @@ def news_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_dedup_news", NEWS + """
 SELECT DISTINCT title AS headline, md5(summary) AS summary_md5, source, published_at FROM news""")
 def stream_dedup_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landed, out, checkpoint = (new_path(spark, n) for n in ("feed", "news", "progress"))
-    views.news_twice(spark, sf_dir).drop("feed_symbol", "feed_pos").write.json(landed)
-    ingest.run_available(ingest.stream_news(spark, landed, delay="400 days"), out, checkpoint)
-    found = spark.read.schema("headline string, summary string, source string, published_at timestamp").parquet(out)
-    return found.withColumn("summary_md5", F.md5("summary")).drop("summary")
+    landed, out, rejected, checkpoint = (new_path(spark, n) for n in ("feed", "news", "rejected", "progress"))
+    feed = views.news_twice(spark, sf_dir).drop("feed_symbol", "feed_pos")
+    moment = V.to_published(F.col("time_published")).cast("long")
+    middle = feed.agg(F.percentile_approx(moment, 0.5)).first()[0]
+    # The first run lands the newer half; the second lands the older half and the newer one again.
+    for landing_now in (feed.where(moment >= middle), feed):
+        landing_now.write.mode("append").json(landed)
+        ingest.run_news(ingest.stream_news(spark, landed), out, rejected, checkpoint)
+    found = spark.read.schema(ingest.STORED_NEWS).parquet(out)
+    return found.withColumn("summary_md5", F.md5("summary")).drop("summary", "article_key", "published_date")
+
+
+@query("rejected_news", SHAPED + """
+SELECT headline, md5(summary) AS summary_md5, source, substr(time_published, 1, 13) AS published_at FROM shaped WHERE feed_pos % 3 = 0""")
+def rejected_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every third time lacks its seconds.
+    short = F.when(F.col("feed_pos") % 3 == 0, F.substring("time_published", 1, 13)).otherwise(F.col("time_published"))
+    rejected = jobs.rejected_news(views.news(spark, sf_dir).withColumn("time_published", short))
+    return rejected.select("headline", F.md5("summary").alias("summary_md5"), "source", "published_at")

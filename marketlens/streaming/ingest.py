@@ -12,6 +12,8 @@ from marketlens.functions import values as V
 from marketlens.operators import series
 from marketlens.operators.news import NEWS_KEY
 from marketlens.operators.ranked import row_digest
+from marketlens.sources.scratch import staged
+from marketlens.sources.sinks import balanced
 
 
 def stream_bars(spark: SparkSession, folder: str, lines: bool = True, files_per_batch: int = 1000) -> DataFrame:
@@ -27,12 +29,14 @@ def stream_bars(spark: SparkSession, folder: str, lines: bool = True, files_per_
     return series.drop_null_key(series.type_records(whole))
 
 
-def stream_news(spark: SparkSession, folder: str, delay: str = "7 days", files_per_batch: int = 1000) -> DataFrame:
-    """Feed items as they land, without repeats of an article within the delay.
+STORED_NEWS = T.StructType([
+    T.StructField("headline", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("published_at", T.TimestampType()), T.StructField("article_key", T.BinaryType()), T.StructField("published_date", T.DateType()),
+])
 
-    State holds one digest per article and expires behind the watermark, instead of a
-    rewrite of the whole table on each run.
-    """
+
+def stream_news(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Feed items as they land, with a key and their date; `run_news` stores each article once."""
     feed = (
         spark.readStream.schema(S.NEWS_ITEM).option("maxFilesPerTrigger", files_per_batch).json(folder)
     )
@@ -41,13 +45,38 @@ def stream_news(spark: SparkSession, folder: str, delay: str = "7 days", files_p
         F.coalesce("summary", F.lit("")).alias("summary"),
         F.coalesce("source", F.lit("")).alias("source"),
         V.to_published(F.col("time_published")).alias("published_at"),
-    ).where(F.col("published_at").isNotNull())
-    return (
-        items.withColumn("_key", row_digest(*NEWS_KEY))
-        .withWatermark("published_at", delay)
-        .dropDuplicatesWithinWatermark(["_key"])
-        .drop("_key")
+        "time_published",
     )
+    return items.withColumns({"article_key": row_digest(*NEWS_KEY), "published_date": F.to_date("published_at")})
+
+
+def run_news(stream: DataFrame, path: str, rejected: str, checkpoint: str) -> StreamingQuery:
+    """Process everything that is there, then stop. Each article is stored once, however late it comes.
+
+    A batch is compared with the stored keys of its own dates, which are partitions. Items whose publication time does
+    not parse go to `rejected`. A batch that is run again adds nothing.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], STORED_NEWS).write.mode("append").partitionBy("published_date").parquet(path)
+
+    def store(batch: DataFrame, number: int) -> None:
+        items = staged(batch, "news-batch")
+        unpublished = items.where(F.col("published_at").isNull())
+        unpublished.select("headline", "summary", "source", "time_published").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        fresh = items.where(F.col("published_at").isNotNull()).drop("time_published").dropDuplicates(["published_date", "article_key"])
+        dates = [r[0] for r in fresh.select("published_date").distinct().collect()]  # at most the days of the calendar
+        stored = batch.sparkSession.read.schema(STORED_NEWS).parquet(path)
+        known = stored.where(F.col("published_date").isin(dates)).select("published_date", "article_key")
+        unseen = staged(fresh.join(known, ["published_date", "article_key"], "left_anti").select(*STORED_NEWS.names), "news-unseen")
+        balanced(unseen, "published_date").write.mode("append").partitionBy("published_date").parquet(path)
+
+    query = (
+        stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

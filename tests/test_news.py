@@ -23,18 +23,28 @@ def feed(spark):
 def test_polarity(spark, inline_limit):
     texts = ["good", "very good", "not good", "bad and good", "nothing", "", None, "GOOD, good!", "good not", "best extremely best"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, summary string")
-    scored = N.lexicon_polarity(df, N.lexicon_frame(spark), "id", inline_limit=inline_limit)
+    scored = N.lexicon_polarity(df, N.lexicon_frame(spark), inline_limit=inline_limit)
     found = [round(r["custom_sentiment_score"], 4) for r in scored.orderBy("id").collect()]
     assert found == [0.7, 0.91, -0.35, 0.0, 0.0, 0.0, 0.0, 0.7, 0.7, 1.0]
     labels = [r["custom_sentiment_label"] for r in N.label_sentiment(scored).orderBy("id").collect()]
     assert labels[:4] == ["Positive", "Positive", "Negative", "Neutral"]
 
 
+@pytest.mark.parametrize("inline_limit", [1000, 1])
+def test_polarity_of_repeated_words_and_texts(spark, inline_limit):
+    entries = [("up", 0.5, 1.0), ("up", -0.25, 1.0), ("so", 0.0, 2.0), ("so", 0.0, 4.0), ("so", 0.25, 1.0), ("flat", 0.5, 1.0), ("flat", -0.5, 1.0)]
+    df = spark.createDataFrame([(1, "up"), (1, "so up"), (1, "flat"), (2, None), (2, "up"), (2, "so so")], "id int, summary string")
+    scored = N.lexicon_polarity(df, N.lexicon_frame(spark, entries), inline_limit=inline_limit)
+    found = sorted((r["id"], r["summary"] or "", round(r["custom_sentiment_score"], 4)) for r in scored.collect())
+    assert found == [(1, "flat", 0.0), (1, "so up", 0.3125), (1, "up", 0.125), (2, "", 0.0), (2, "so so", 0.5), (2, "up", 0.125)]
+
+
 def test_feed_to_table(spark):
     rows = jobs.news_from_feed(feed(spark), N.lexicon_frame(spark)).orderBy("published_at").collect()
     # The repeat in feed A goes, the same article of feed B equals the first, and the time without seconds is set aside.
     assert [(r["headline"], r["original_sentiment_score"], r["custom_sentiment_label"]) for r in rows] == [
         ("t1", 0.5, "Positive"), ("", 0.0, "Neutral")]
+    assert [(r["headline"], r["published_at"]) for r in jobs.rejected_news(feed(spark)).collect()] == [("t2", "20240102T0000")]
     shaped = N.project_news(feed(spark))
     _, bad = N.split_unpublished(shaped)
     assert [r["headline"] for r in bad.collect()] == ["t2"]

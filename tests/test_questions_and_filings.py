@@ -39,6 +39,13 @@ def test_history_answers_are_distinct_and_newest(spark):
     assert [r["close"] for r in top] == [8.0, 8.5]
 
 
+def test_history_follows_the_questions_horizon_and_keeps_undated_bars(spark):
+    asked = questions.route_questions(ask(spark, "closing price of apple")).withColumn("days", F.lit(20))
+    undated = bars(spark).where("symbol = 'AAPL'").limit(1).withColumns({"trade_date": F.lit(None).cast("date"), "close": F.lit(-1.0)})
+    found = questions.answer_history(asked, bars(spark).unionByName(undated)).orderBy("nth").collect()
+    assert [r["value"] for r in found] == [8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0, 0.0, -1.0]
+
+
 def test_prediction_answers_take_the_earliest(spark):
     stored = bars(spark).select("symbol", "trade_date", F.col("close").alias("volume_prediction"),
                                 F.col("close").alias("close_prediction"), F.lit("seq_a").alias("model"))

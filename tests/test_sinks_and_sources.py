@@ -172,12 +172,31 @@ def test_streams_take_only_new_files(spark, tmp_path):
 
 
 def test_stream_news_keeps_one_of_each(spark, tmp_path):
-    landed, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
-    items = [{"title": "t", "summary": "s", "source": "x", "time_published": f"2024010{d}T000000"} for d in (1, 1, 2)]
-    for batch in (items, items[:1] + items[2:]):
+    landed, out, bad, progress = (str(tmp_path / n) for n in ("in", "out", "bad", "progress"))
+    times = ["20240101T000000", "20240101T000000", "20240102T000000", "20240102T0000"]
+    items = [{"title": "t", "summary": "s", "source": "x", "time_published": t} for t in times]
+    old = {**items[0], "time_published": "20230101T000000"}
+    for batch in (items, [old, *items[:1], *items[2:3]]):
         spark.createDataFrame([(json.dumps(i),) for i in batch], "value string").coalesce(1).write.mode("append").text(landed)
-        ingest.run_available(ingest.stream_news(spark, landed), out, progress)
-    assert spark.read.parquet(out).count() == 2
+        ingest.run_news(ingest.stream_news(spark, landed), out, bad, progress)
+    # An article that is a year late is kept, repeats are not, and a time that does not parse is set aside.
+    found = spark.read.schema(ingest.STORED_NEWS).parquet(out)
+    assert [str(r[0]) for r in found.select("published_date").orderBy("published_date").collect()] == ["2023-01-01", "2024-01-01", "2024-01-02"]
+    assert [r["time_published"] for r in spark.read.parquet(bad).collect()] == ["20240102T0000"]
+
+
+def test_loading_trades_returns_what_it_sets_aside(spark, tmp_path, db):
+    docs = [
+        {"symbol": "RJ", S.META_KEY: {"a": "b"}, S.SERIES_KEY: {
+            "2024-01-02": day(1), "2024-01-03": {**day(2), "1. open": "abc"}, "2024-01-04": {**day(2), S.BAR_FIELDS["volume"]: "1.5"}}},
+        {"symbol": "RK", S.SERIES_KEY: {"2024-01-02": day(1)}},
+    ]
+    landed = str(tmp_path / "docs")
+    spark.createDataFrame([(json.dumps(d),) for d in docs], "value string").write.text(landed)
+    rejected = jobs.load_trades(spark, landed, f"{db}.trades", lines=True)
+    found = sorted((r["symbol"], r["date"] or "", r["reason"]) for r in rejected.collect())
+    assert found == [("RJ", "2024-01-03", "number: open"), ("RJ", "2024-01-04", "volume"), ("RK", "", "document")]
+    assert spark.table(f"{db}.trades").where("symbol = 'RJ'").count() == 1
 
 
 def test_shared_folder(spark):
