@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.components import components
-from marketlens.llm.texts import chunked, lowered, mixed, prefix_hashes, small_batches, span_hashes, word_spans
+from marketlens.llm.components import components, merged
+from marketlens.llm.texts import chunked, give_back, lowered, mixed, prefix_hashes, small_batches, span_hashes, word_spans
 from marketlens.sources.scratch import staged
 
 WORDS_PER_SHINGLE = 3
@@ -164,6 +164,7 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
                 same.append(hit)
                 together.append(len(x) + len(y) - hit)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int64()), pa.array(together, pa.int64())], names=["a", "b", "same", "together"])
+        give_back()
 
     left = contents.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     right = contents.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
@@ -252,6 +253,8 @@ def _region_links(region: DataFrame, contents: DataFrame, percent: int) -> DataF
                 held.append(batch.slice(i, j - i))
         if held:
             yield finish()
+        held = []
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -268,8 +271,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHIN
     alike = staged(alike, "jaccard-alike")
 
     # The cells that more than one set falls into.
-    stand_ins = rows.select("doc_id", "n", "one", "two", "signatures").join(alike, ["n", "one", "two"]).where("doc_id = node")
-    stand_ins = staged(stand_ins.select("node", "n", "signatures"), "jaccard-nodes")
+    stand_ins = rows.withColumn("node", F.col("doc_id")).join(alike, ["node", "n", "one", "two"], "left_semi")
     dealt = stand_ins.select("node", F.explode("signatures").alias("cell"))
     shared = dealt.groupBy("cell").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("cell", "pivot")
     members = staged(dealt.join(shared, "cell").select("cell", "pivot", "node").distinct(), "jaccard-members")
@@ -279,11 +281,10 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHIN
     first = members.where("node <> pivot").groupBy("node").agg(F.min(F.struct("cell", "pivot")).alias("m"))
     checked = _verified(first.select(F.col("m.pivot").alias("a"), F.col("node").alias("b")), contents)
     linked = 100 * F.col("same") >= percent * F.col("together")
-    links = checked.where(linked).select("a", "b")
-    component = components(links)
-    sizes = stand_ins.groupBy("node").agg(F.min("n").alias("n"))
+    component = components(checked.where(linked).select("a", "b"))
+    sizes = alike.groupBy("node").agg(F.min("n").alias("n"))
 
-    def still_open(rest: DataFrame) -> DataFrame:
+    def still_open(rest: DataFrame, component: DataFrame) -> DataFrame:
         """Members of the cells that hold several components, with their component and the cell's largest one."""
         now = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         counts = now.groupBy("cell", "component").agg(F.count("*").alias("n_of"))
@@ -300,17 +301,15 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHIN
 
     # Cells that hold several components: to close most of them early, the sets outside a cell's largest component
     # meet one of that component's sets in each of their cells.
-    now = still_open(members.select("cell", "node")).join(sizes, "node")
+    now = still_open(members.select("cell", "node"), component).join(sizes, "node")
     contents = staged(contents.join(now.select("node").distinct(), "node", "left_semi"), "jaccard-contents")
     probe = now.where("component = main").groupBy("cell").agg(F.min(F.struct(F.xxhash64("cell", "node"), "node", "n")).alias("m")).select("cell", F.col("m.node").alias("a"), F.col("m.n").alias("n_a"))
     probes = now.where("component <> main").select("cell", F.col("node").alias("b"), "n").join(probe, "cell").where(fitting("n", "n_a"))
-    links = staged(links.unionByName(_verified(unseen(probes), contents).where(linked).select("a", "b")), "jaccard-links")
-    component = components(links)
+    component = merged(component, _verified(unseen(probes), contents).where(linked).select("a", "b"))
 
     # What is still open is joined by region: the cells around one component, every set once.
-    region = still_open(now.select("cell", "node")).select(F.col("main").alias("region"), "node", "component").distinct()
-    links = staged(links.unionByName(_region_links(staged(region, "jaccard-regions"), contents, percent)), "jaccard-links")
-    component = components(links)
+    region = still_open(now.select("cell", "node"), component).select(F.col("main").alias("region"), "node", "component").distinct()
+    component = merged(component, _region_links(staged(region, "jaccard-regions"), contents, percent))
 
     whole = rows.select("doc_id", "n", "one", "two").join(alike, ["n", "one", "two"], "left").join(component, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
