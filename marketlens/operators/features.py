@@ -205,13 +205,10 @@ def chrono_split(sequences: DataFrame, train_share: float = 0.8) -> DataFrame:
 def last_row(df: DataFrame, by: str = "symbol", order: str = "trade_date") -> DataFrame:
     """The newest row of each group; among rows of that date, the greatest by all columns.
 
-    The newest dates are a small hash aggregate, and only rows of those dates go on.
+    Each task keeps one row per group before the shuffle. Rows without a group or a date are left out.
     """
-    newest = df.groupBy(F.col(by).alias("_by")).agg(F.max(order).alias("_newest"))
-    few = df.join(newest, (F.col(by) == F.col("_by")) & (F.col(order) == F.col("_newest"))).select(*df.columns)
-    return few.groupBy(F.col(by).alias("_by")).agg(F.max(F.struct(*df.columns)).alias("_r")).select(
-        *[F.col("_r")[c].alias(c) for c in df.columns]
-    )
+    known = df.where(F.col(by).isNotNull() & F.col(order).isNotNull())
+    return top_k(known, [by], [F.desc(order), *[F.desc_nulls_last(c) for c in df.columns]], 1)
 
 
 def last_sequence(bars: DataFrame, length: int = 60, columns: Sequence[str] = ("close", "volume"),

@@ -28,10 +28,11 @@ FIELD_PHRASES = {
     "opening price": "open",
 }
 # Horizon phrases in order of precedence, and the horizon without one.
-HORIZON_PHRASES = [("1 day", 1), ("tomorrow", 1), ("3 days", 3), ("5 days", 5), ("next five days", 5)]
+HORIZON_PHRASES = [("1 day", 1), ("tomorrow", 1), ("3 days", 3)]
 DEFAULT_HORIZON = 5
 # Caption formats.
 AHEAD_CAPTION = "Predictions for %s (Next %d Days)"
+MODEL_CAPTION = " using %s"
 BACK_CAPTION = "%s for %s (Last %d Days)"
 
 
@@ -72,8 +73,11 @@ def match_symbols(questions: DataFrame, names: DataFrame) -> DataFrame:
     return questions.join(found, "qid", "left")
 
 
-def route_questions(questions: DataFrame, names: Mapping[str, str] = STOCK_NAMES) -> DataFrame:
-    """Add symbol, field, days, route (prediction / history / free_text) and a caption to questions(qid, text)."""
+def route_questions(questions: DataFrame, names: Mapping[str, str] = STOCK_NAMES, model: str | None = None) -> DataFrame:
+    """Add symbol, field, days, route (prediction / history / free_text) and a caption to questions(qid, text).
+
+    With `model` a prediction's caption names the model that is asked.
+    """
     text = F.col("text")
     routed = questions.withColumns({
         "symbol": question_symbol(text, names),
@@ -86,6 +90,8 @@ def route_questions(questions: DataFrame, names: Mapping[str, str] = STOCK_NAMES
         "route", F.when(forward, "prediction").when(backward, "history").otherwise("free_text")
     )
     ahead = F.format_string(AHEAD_CAPTION, F.upper("symbol"), F.col("days"))
+    if model is not None:
+        ahead = F.concat(ahead, F.format_string(MODEL_CAPTION, F.lit(model)))
     back = F.format_string(BACK_CAPTION, F.initcap("field"), F.upper("symbol"), F.col("days"))
     return routed.withColumn(
         "caption", F.when(F.col("route") == "prediction", ahead).when(F.col("route") == "history", back)

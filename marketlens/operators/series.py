@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import values as V
-from marketlens.operators.ranked import keep_first, top_k
+from marketlens.operators.ranked import keep_first
 from marketlens.schemas import BAR_FIELDS, META_KEY, PRICES, SERIES_KEY
 
 BAR_VALUES = [*PRICES, "volume"]
@@ -135,24 +135,25 @@ def clean_table(df: DataFrame, min_share: float = 0.2, keep: Sequence[str] | Non
 
 def coverage_report(bars: DataFrame, as_of: str, edge: int = 5) -> DataFrame:
     """Per symbol: first and last date, number of days, the first and last few dates, and whether `as_of` is there."""
-    day = F.col("trade_date")
-    summary = bars.groupBy("symbol").agg(
-        F.min(day).alias("first_date"),
-        F.max(day).alias("last_date"),
-        F.count(day).alias("bars"),
-        F.max(day == F.lit(as_of).cast("date")).alias("has_as_of"),
+    # One row per symbol and day; a symbol has no more days than the calendar.
+    day, held = F.col("trade_date"), Window.partitionBy("symbol")
+    days = bars.groupBy("symbol", "trade_date").agg(F.count("trade_date").alias("_n")).select(
+        "*",
+        F.row_number().over(held.orderBy(day.asc_nulls_last())).alias("_from_first"),
+        F.row_number().over(held.orderBy(day.desc_nulls_last())).alias("_from_last"),
     )
-    days = bars.select("symbol", "trade_date").where(day.isNotNull()).distinct()
 
-    def joined(order: Column, name: str) -> DataFrame:
-        # At most `edge` dates per symbol are gathered.
-        return top_k(days, ["symbol"], [order], edge).groupBy("symbol").agg(
-            F.array_join(F.sort_array(F.collect_list(day.cast("string"))), ",").alias(name)
-        )
+    def joined(rank: str) -> Column:
+        texts = F.collect_list(F.when(F.col(rank) <= edge, day.cast("string")))
+        return F.when(F.max(day).isNotNull(), F.array_join(F.sort_array(texts), ","))
 
-    return (
-        summary.join(joined(day.asc(), "first_dates"), "symbol", "left")
-        .join(joined(day.desc(), "last_dates"), "symbol", "left")
+    return days.groupBy("symbol").agg(
+        F.min(day).alias("first_date"),
+        F.max(day).alias("last_date"),
+        F.sum("_n").alias("bars"),
+        F.max(day == F.lit(as_of).cast("date")).alias("has_as_of"),
+        joined("_from_first").alias("first_dates"),
+        joined("_from_last").alias("last_dates"),
     )
 
 

@@ -54,7 +54,7 @@ def load_trades(spark: SparkSession, landing_path: str, table: str, start: str =
     """Append the bars the table does not hold yet; returns what was set aside."""
     docs = landing.read_series(spark, landing_path, lines, name_pattern)
     rejected = staged(rejected_bars(docs, start), "rejected-bars")
-    sinks.append_new_rows(bars_from_documents(docs, start), table, ["symbol", "trade_date", *X.BAR_VALUES])
+    sinks.append_new_rows(bars_from_documents(docs, start), table, ["symbol", "trade_date", *X.BAR_VALUES], within="trade_date")
     return rejected
 
 

@@ -104,52 +104,6 @@ MODEL_METRICS = T.StructType([
 ])
 
 
-def _address() -> T.StructType:
-    parts = ["zipCode", "stateOrCountry", "city", "street2", "stateOrCountryDescription", "street1"]
-    return T.StructType([T.StructField(p, T.StringType()) for p in parts])
-
-
-def _arrays(element: T.DataType, *names: str) -> list[T.StructField]:
-    return [T.StructField(n, T.ArrayType(element)) for n in names]
-
-
-def _scalars(element: T.DataType, *names: str) -> list[T.StructField]:
-    return [T.StructField(n, element) for n in names]
-
-
-COMPANY_PROFILE = T.StructType([
-    T.StructField("filings", T.StructType([
-        T.StructField("files", T.ArrayType(T.StructType([
-            T.StructField("filingTo", T.DateType()),
-            T.StructField("filingCount", T.LongType()),
-            T.StructField("filingFrom", T.DateType()),
-            T.StructField("name", T.StringType()),
-        ]))),
-        T.StructField("recent", T.StructType(
-            _arrays(T.StringType(), "primaryDocDescription", "primaryDocument", "core_type", "items",
-                    "form", "fileNumber", "accessionNumber")
-            + _arrays(T.LongType(), "isInlineXBRL", "isXBRL", "size", "act", "filmNumber")
-            + _arrays(T.TimestampType(), "acceptanceDateTime")
-            + _arrays(T.DateType(), "reportDate", "filingDate")
-        )),
-    ])),
-    T.StructField("formerNames", T.ArrayType(T.StructType([
-        T.StructField("to", T.TimestampType()),
-        T.StructField("from", T.TimestampType()),
-        T.StructField("name", T.StringType()),
-    ]))),
-    T.StructField("addresses", T.StructType([
-        T.StructField("business", _address()),
-        T.StructField("mailing", _address()),
-    ])),
-    *_arrays(T.StringType(), "exchanges", "tickers"),
-    *_scalars(T.StringType(), "stateOfIncorporation", "stateOfIncorporationDescription", "investorWebsite",
-              "flags", "phone", "description", "sicDescription", "website", "name", "ownerOrg",
-              "entityType", "category"),
-    *_scalars(T.LongType(), "fiscalYearEnd", "ein", "sic", "insiderTransactionForOwnerExists",
-              "insiderTransactionForIssuerExists", "cik"),
-])
-
 # name -> (schema, partition columns). Predictions of all models share one table,
 # partitioned by model, so that choosing a model prunes partitions.
 TABLES = {
@@ -157,7 +111,6 @@ TABLES = {
     "year_end_reports": (YEAR_END_REPORTS, []),
     "news_sentiment": (NEWS_SENTIMENT, []),
     "filings_10k": (FILINGS_10K, []),
-    "company_profile": (COMPANY_PROFILE, []),
     "model_metrics": (MODEL_METRICS, ["model"]),
     "predictions": (T.StructType([*PREDICTIONS.fields, T.StructField("model", T.StringType())]), ["model"]),
 }

@@ -161,6 +161,17 @@ def test_only_new_rows_are_appended(spark, db):
     assert spark.table(f"{db}.trades").where("symbol = 'n'").count() == 4
 
 
+def test_an_append_reads_only_its_own_dates(spark, db):
+    bars = make_bars(spark, {"w": 4})
+    undated = bars.limit(1).withColumn("trade_date", F.lit(None).cast("date"))
+    for rows, total in ((bars, 4), (bars, 4), (bars.unionByName(undated), 5), (undated, 5), (bars.limit(0), 5)):
+        sinks.append_new_rows(rows, f"{db}.trades", ["symbol", "trade_date", *BAR_VALUES], within="trade_date")
+        assert spark.table(f"{db}.trades").where("symbol = 'w'").count() == total
+    near = spark.table(f"{db}.trades").where(sinks._range_of(bars, "trade_date"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(trade_date" in plan and "LessThanOrEqual(trade_date" in plan
+
+
 def test_streams_take_only_new_files(spark, tmp_path):
     landed, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     doc = {"symbol": "A", S.META_KEY: {"a": "b"}, S.SERIES_KEY: {"2024-01-02": day(1)}}
