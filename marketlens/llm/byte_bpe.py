@@ -2,8 +2,9 @@
 
 Texts are split by the pattern of the rank file's encoder, on whole Arrow batches at once. The distinct
 words of a batch become token-position rows; a recursive query joins neighbours with the merge table and contracts each
-word's leftmost pair of least rank until no pair is left. Decoding joins the ids with the vocabulary and
-puts the bytes together by an ordered aggregation.
+word's leftmost pair of least rank until no pair is left. Only the last step of a position is kept. Decoding joins the
+ids with the vocabulary and puts the bytes together by an ordered aggregation. What one query takes is bounded, whatever
+the number of words and the length of a text.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from marketlens.llm.texts import chunked, give_back, prefix_hashes, small_batche
 
 #: Words of more bytes are contracted with a heap: a query step for each merge would take the square of their length.
 LONG_WORD = 64
-#: Words of one recursive query, and words whose ids a worker remembers before it starts afresh.
-QUERY_WORDS, REMEMBERED = 50_000, 2_000_000
+#: Bytes of one recursive query, ids of one decoding query, and words whose ids a worker remembers before it starts afresh.
+QUERY_BYTES, QUERY_IDS, REMEMBERED = 200_000, 200_000, 2_000_000
 _CHUNK = 2 << 20
 
 # The suffixes that the pattern splits off after an apostrophe.
@@ -38,20 +39,20 @@ _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _kinds: list[np.ndarray] = []
 
 CONTRACT = f"""
-WITH RECURSIVE steps(word, pos, tok, step) AS (
-  SELECT word, pos, tok, 0 FROM bytes_of
-  UNION ALL
+WITH RECURSIVE steps(word, pos, tok) USING KEY (word, pos) AS (
+  SELECT word, pos, tok FROM bytes_of
+  UNION
   (WITH around AS (
-     SELECT word, pos, tok, step, lead(tok) OVER near AS after, lag(pos) OVER near AS before
-     FROM steps WINDOW near AS (PARTITION BY word ORDER BY pos)),
+     SELECT word, pos, tok, lead(tok) OVER near AS after, lead(pos) OVER near AS next
+     FROM recurring.steps WHERE tok >= 0 AND word IN (SELECT word FROM steps)
+     WINDOW near AS (PARTITION BY word ORDER BY pos)),
    best AS (
      SELECT word, min(merges.made::BIGINT * {1 << 20} + pos) AS key
      FROM around JOIN merges ON tok = merges.a AND after = merges.b GROUP BY word)
-   SELECT word, pos, CASE WHEN pos = key % {1 << 20} THEN (key // {1 << 20})::INTEGER ELSE tok END, step + 1
-   FROM around JOIN best USING (word)
-   WHERE before IS NULL OR before <> key % {1 << 20})
+   SELECT word, unnest([pos, next]), unnest([(key // {1 << 20})::INTEGER, -1])
+   FROM around JOIN best USING (word) WHERE pos = key % {1 << 20})
 )
-SELECT word, tok FROM steps JOIN (SELECT word, max(step) AS step FROM steps GROUP BY word) USING (word, step) ORDER BY word, pos
+SELECT word, tok FROM steps WHERE tok >= 0 ORDER BY word, pos
 """
 DECODE = "SELECT doc, string_agg(vocabulary.hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (id) GROUP BY doc"
 
@@ -162,8 +163,12 @@ class Merges:
                 out[i] = np.array(self._by_heap(w), np.int32)
             else:
                 open_words.append(i)
-        for k in range(0, len(open_words), QUERY_WORDS):
-            part = open_words[k : k + QUERY_WORDS]
+        ends = np.cumsum([len(words[i]) for i in open_words], dtype=np.int64)
+        last = 0
+        while last < len(open_words):
+            first, done_bytes = last, ends[last - 1] if last else 0
+            last = int(np.searchsorted(ends, done_bytes + QUERY_BYTES, "right"))  # a word has LONG_WORD bytes at most
+            part = open_words[first:last]
             sizes = np.array([len(words[i]) for i in part])
             raw = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
             begin = np.cumsum(sizes) - sizes
@@ -231,14 +236,15 @@ class Merges:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each text's ids."""
-        out = [b""] * (len(offsets) - 1)
-        sizes = np.diff(offsets)
-        rows = pa.table({"doc": np.repeat(np.arange(len(out), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})
-        self.db.register("ids", rows)
-        for doc, text in self.db.execute(DECODE).fetchall():
-            out[doc] = bytes.fromhex(text)
-        self.db.unregister("ids")
-        return out
+        docs = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+        pieces: list[list[bytes]] = [[] for _ in range(len(offsets) - 1)]
+        for k in range(0, len(ids), QUERY_IDS):
+            part = ids[k : k + QUERY_IDS]
+            self.db.register("ids", pa.table({"doc": docs[k : k + QUERY_IDS], "pos": np.arange(len(part), dtype=np.int32), "id": part}))
+            for doc, text in self.db.execute(DECODE).fetchall():
+                pieces[doc].append(bytes.fromhex(text))
+            self.db.unregister("ids")
+        return [b"".join(x) for x in pieces]
 
     def round_trip(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, bytes]]:
         """Ids and decoded bytes of each text. Remembered words are found by a 64-bit hash, so a text that

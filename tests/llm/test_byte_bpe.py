@@ -49,6 +49,17 @@ def test_remembered_words_are_checked(encoder):
     assert decoded == b"hello worlds" and ids.tolist() == encoder.encode_ordinary("hello worlds")
 
 
+def test_queries_stay_within_the_memory_of_the_database(encoder):
+    rng = random.Random(4)
+    merges = byte_bpe.Merges(byte_bpe.load_ranks(PATH))
+    words = list({"".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(13)) for _ in range(50_000)})
+    for word, ids in list(zip(words, merges.contract([w.encode() for w in words]), strict=True))[::500]:
+        assert ids.tolist() == encoder.encode_ordinary(word)
+    ids = np.array([rng.randrange(len(merges.tokens)) for _ in range(4_000_000)], np.int32)
+    cuts = np.array([0, 0, 3, 3_900_000, 3_900_000, len(ids)])
+    assert merges.decode(ids, cuts) == [b"".join(merges.tokens[i] for i in ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
 def test_round_trip_and_digests(spark, docs_of, encoder):
     content, texts = byte_bpe.load_ranks(PATH), odd_texts()[:60]
     docs = docs_of([(i, t, "x") for i, t in enumerate(texts)] + [(None, None, None), (5, "again", "y")], "doc_id long, text string, ids string")
