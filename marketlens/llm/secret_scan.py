@@ -37,7 +37,14 @@ ASSIGN_LEAST = 12
 #: Candidate strings and, for each character class, the entropy in bits that a window must reach.
 WINDOW = 20
 CANDIDATE = re.compile(f"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
-CLASSES = (("digits", re.compile("[0-9]+"), 3.2), ("hex", re.compile("[0-9a-fA-F]+"), 3.2), ("base64", re.compile(".+"), 3.9))
+#: Long words of one case come near random letters, so these need more than letters among digits.
+CLASSES = (
+    ("digits", re.compile("[0-9]+"), 2.7), ("hex", re.compile("[0-9a-fA-F]+"), 3.2),
+    ("one-case letters", re.compile("[a-z]+|[A-Z]+"), 3.65), ("lower alphanumeric", re.compile("[a-z0-9]+"), 3.3),
+    ("upper alphanumeric", re.compile("[A-Z0-9]+"), 3.3), ("base64", re.compile(".+"), 3.9),
+)
+#: A candidate is also looked at without its separators: a name before "=" must not change the class of the key.
+INNER = re.compile(f"[A-Za-z0-9]{{{WINDOW},}}")
 #: Strings that are known to be harmless: alphabets, counters and documentation values.
 ALLOWED = ("abcdefghijklmnop", "ABCDEFGHIJKLMNOP", "0123456789", "EXAMPLE", "example", "00000000", "xxxxxxxx", "XXXXXXXX", "deadbeef", "sha256-", "sha512-")
 
@@ -56,7 +63,7 @@ def base_spans(text: str) -> list[Span]:
 
 def window_entropies(text: str, width: int = WINDOW) -> Iterator[float]:
     """Entropy in bits of each window of `width` characters. One character comes and one goes at each step."""
-    part = [0.0, *(c * math.log2(c) for c in range(1, width + 1))]
+    part = [0.0, *(c * math.log2(c) for c in range(1, width + 2))]
     counts: dict[str, int] = {}
     total = 0.0
     for i, c in enumerate(text):
@@ -72,20 +79,21 @@ def window_entropies(text: str, width: int = WINDOW) -> Iterator[float]:
 
 
 def entropy_spans(text: str, allowed=ALLOWED) -> list[Span]:
-    """Runs of windows above the threshold of their class. Words without a digit, strings of one letter case
-    around few digits, and windows that hold an allowed string are left out."""
+    """Runs of windows that reach the threshold of their class, in a candidate or in its parts between separators.
+    Windows that hold an allowed string are left out."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not any(c.isdigit() for c in s) or "://" in text[max(0, m.start() - 8) : m.start()]:
+        if "://" in text[max(0, m.start() - 8) : m.start()]:
             continue
-        name, _, least = next(x for x in CLASSES if x[1].fullmatch(s))
-        if name == "base64" and not (re.search("[a-z]", s) and re.search("[A-Z]", s)):
-            continue
-        banned = [(i, i + len(a)) for a in allowed for i in _places(s, a)]
+        found: set[int] = set()
+        for at, part in [(0, s), *((x.start(), x[0]) for x in INNER.finditer(s) if len(x[0]) < len(s))]:
+            least = next(x[2] for x in CLASSES if x[1].fullmatch(part))
+            found.update(at + i for i, h in enumerate(window_entropies(part)) if h >= least)
+        banned = [(i, i + len(a)) for a in allowed for i in _places(s, a)] if found else []
         begin = end = -1
-        for i, h in enumerate(window_entropies(s)):
-            if h < least or any(a < i + WINDOW and i < b for a, b in banned):
+        for i in sorted(found):
+            if any(a < i + WINDOW and i < b for a, b in banned):
                 continue
             if i > end:
                 if end >= 0:
@@ -108,10 +116,9 @@ def spans_of(text: str, allowed=ALLOWED) -> list[Span]:
     return sorted(base_spans(text) + entropy_spans(text, allowed))
 
 
-_HEX, _CANDIDATE, _DIGIT = (np.zeros(256, bool) for _ in range(3))
+_HEX, _CANDIDATE = (np.zeros(256, bool) for _ in range(2))
 _HEX[[*b"0123456789abcdef"]] = True
 _CANDIDATE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
-_DIGIT[[*b"0123456789"]] = True
 
 
 def _runs(inside: np.ndarray, width: int) -> np.ndarray:
@@ -126,10 +133,7 @@ def _runs(inside: np.ndarray, width: int) -> np.ndarray:
 
 def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts that can hold a span at all; the others need no pattern matching. Leaves out no text that has one."""
-    places = [_runs(_HEX[data], 16)]
-    long = _runs(_CANDIDATE[data], WINDOW)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    places.append(long[digits[long + WINDOW] > digits[long]])
+    places = [_runs(_HEX[data], 16), _runs(_CANDIDATE[data], WINDOW)]
     low = lowered(data).tobytes()
     for word in (*WORDS, "akia"):
         found, part = [], word.encode()

@@ -103,6 +103,22 @@ def test_entropy():
     assert secret_scan.entropy_spans("a" * 40 + " internationalisationalisation 12345678901234567890123 abcdefghijklmnopqrstuvwxyzABC0123456789") == []
 
 
+@pytest.mark.parametrize(("alphabet", "n", "share"), [
+    ("0123456789", 20, 0.9), ("0123456789", 32, 0.95), ("abcdefghijklmnopqrstuvwxyz234567", 20, 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.95),
+    ("abcdefghijklmnopqrstuvwxyz0123456789", 32, 0.95), ("abcdefghijklmnopqrstuvwxyz", 32, 0.8),
+])
+def test_keys_of_one_letter_case(docs_of, alphabet, n, share):
+    rng = random.Random(n)
+    keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+    for before in ("", "key="):
+        assert np.mean([bool(secret_scan.entropy_spans(f"{before}{k}")) for k in keys]) >= share
+    words = "electroencephalographically counterrevolutionaries uncharacteristically INTERNATIONALIZATION_ERROR well-known-and-often-used"
+    assert secret_scan.entropy_spans(words) == [] and secret_scan.entropy_spans("0" * 30) == []
+    docs = docs_of([(i, f"key={k} end") for i, k in enumerate(keys[:40])])
+    masked = [r["text"] for r in secret_scan.redact(docs).collect()]
+    assert np.mean(["[SECRET]" in t for t in masked]) >= share - 0.1
+
+
 def test_scan_and_redact(spark, docs_of):
     rng = random.Random(8)
     pieces = ["the word ", "é ", "password=", "hunter2hunter2x ", "token", ": ", "a1b2c3d4e5f60718 ", "AKIA", "ABCDEFGHIJKLMNOPQR ", "kJ8sQ2xVb7LmZ4tRwY9pNc3H ", "\n", "api_key='"]
