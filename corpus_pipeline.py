@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import byte_bpe, jaccard_join, language_id, mixing, queries, secret_scan
-from marketlens.sources.scratch import new_path
+from marketlens.sources.scratch import new_path, staged
 
 ORACLE_SQL = None
+#: What links two documents: the contract of stages on word shingles, which is not that of the op2 query.
+WORDS_PER_SHINGLE, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +24,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; rows without an id stay."""
-    judged = jaccard_join.classes(docs.select("doc_id", "text"))
-    dropped = judged.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    """Of each group of linked rows one stays: that of the least doc_id, then of the least digest of its columns.
+
+    Rows are linked by their five-word shingles at a Jaccard index of 0.8. They are judged one by one, whatever ids they
+    repeat or lack; a row without an id goes if a row with one is left. Rows without words are linked with nothing.
+    """
+    # Row numbers are made once and written, so that every later read has the same ones.
+    rows = staged(docs.withColumn("llm_row", F.monotonically_increasing_id()), "pipeline-rows")
+    judged = jaccard_join.classes(rows.select(F.col("llm_row").alias("doc_id"), "text"), percent=PERCENT, width=WORDS_PER_SHINGLE)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("digest"), "llm_row").alias("place")
+    judged = judged.select(F.col("doc_id").alias("llm_row"), "component_id").join(rows.select("llm_row", order), "llm_row")
+    judged = staged(judged, "pipeline-judged")
+    best = judged.groupBy("component_id").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1")
+    dropped = judged.join(best, "component_id").where("llm_row <> best.llm_row").select("llm_row")
+    return rows.join(dropped, "llm_row", "left_anti").drop("llm_row")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
