@@ -90,7 +90,7 @@ def random_forest(target: str, trees: int = 100, depth: int = 10, seed: int = 42
     )
 
 
-def boosted_trees(target: str, rounds: int = 20, depth: int = 6, step: float = 0.3, seed: int = 42, **more) -> Estimator:
+def boosted_trees(target: str, rounds: int = 100, depth: int = 6, step: float = 0.3, seed: int = 42, **more) -> Estimator:
     return GBTRegressor(
         featuresCol="features", labelCol=target, predictionCol=f"{target}_hat", maxIter=rounds,
         maxDepth=depth, stepSize=step, seed=seed, **more,

@@ -83,3 +83,13 @@ def test_unknown_symbol_takes_the_overall_mean(spark, bars):
 def test_errors_in_original_units(bars):
     scores = jobs.score_trades(bars, {"seq_a": {}}).collect()
     assert {r["symbol"] for r in scores} == {"a", "b", "c"} and all(0 < r["mse_close"] < 200 for r in scores)
+
+
+def test_boosted_trees_are_registered_with_full_settings(spark, sf_dir, monkeypatch):
+    from marketlens.plans import forecast_queries
+
+    asked = {}
+    monkeypatch.setattr(forecast_queries.jobs, "forecast_trades", lambda bars, as_of, models: asked.update(models) or {"gbt": bars.selectExpr("1.0 AS volume_prediction", "1.0 AS close_prediction")})
+    forecast_queries.forecast_gbt(spark, sf_dir)
+    fitted = M.boosted_trees("close", **asked["gbt"])
+    assert (fitted.getMaxIter(), fitted.getMaxDepth()) == (100, 6)
