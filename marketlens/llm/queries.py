@@ -12,6 +12,7 @@ from marketlens.llm import (
     jaccard_join,
     language_id,
     mixing,
+    resampling,
     secret_scan,
     suffix_dedup,
     toxicity,
@@ -109,3 +110,49 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return embedding_dedup.classes(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
+#: CRC-32 of a text column `w` in plain SQL: the table of the 256 bytes by its rule, then one step a byte.
+CRC_TABLE_SQL = """(SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)"""
+CRC_SQL = """xor(list_reduce(list_transform(range(octet_length(encode(w))), lambda i: CAST(('0x' || hex(encode(w)[i + 1:i + 1])) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295)"""
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+RESAMPLING_SQL = f"""
+WITH crc_table AS MATERIALIZED {CRC_TABLE_SQL},
+texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+wanted AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+words AS MATERIALIZED (SELECT r, unnest(ws) AS w FROM texts),
+vocabulary AS MATERIALIZED (
+  SELECT w, {CRC_SQL} % 10000 AS bucket FROM (SELECT w FROM words UNION SELECT w FROM wanted), crc_table),
+features AS MATERIALIZED (SELECT r, bucket FROM words JOIN vocabulary USING (w)),
+s AS (SELECT bucket, count(*) AS s FROM features GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM wanted JOIN vocabulary USING (w) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS s_all, (SELECT coalesce(sum(t), 0) FROM t) AS t_all),
+gains AS MATERIALIZED (
+  SELECT b.range AS bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) b LEFT JOIN s ON s.bucket = b.range LEFT JOIN t ON t.bucket = b.range CROSS JOIN totals),
+weights AS (SELECT r, sum(gain) AS weight FROM features JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(ws) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (r)),
+ranked AS (
+  SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, s.score,
+  CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id
+"""
+
+
+@query("op12_importance_resampling", RESAMPLING_SQL)
+def resample_towards_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
