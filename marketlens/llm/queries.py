@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.llm import (
     ann_graph,
     byte_bpe,
+    conversation_repair,
     embedding_dedup,
     jaccard_join,
     language_id,
@@ -156,3 +157,67 @@ def resample_towards_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drawn = resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+REPAIR_SQL = f"""
+WITH RECURSIVE crc_table AS MATERIALIZED {CRC_TABLE_SQL},
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS w FROM conversations),
+hits AS MATERIALIZED (SELECT conv_id, turn, role, text, {CRC_SQL} % 20 AS hit FROM given, crc_table),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hits WHERE hit <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j FROM hurt),
+faults AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, j, substr(role, 1, 1) AS i,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY j) > 1 THEN 'd'
+      WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY j) || substr(role, 1, 1) AS pair
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(j) AS n
+  FROM faults GROUP BY conv_id),
+best(conv_id, j, v0, v1, v2, v3) AS (
+  SELECT conv_id, n + 1, {{'c': 0, 'a': ''}}, {{'c': 6, 'a': 'II'}}, {{'c': 3, 'a': 'I'}}, {{'c': 0, 'a': ''}} FROM counts
+  UNION ALL
+  SELECT conv_id, j,
+    least(b0, {{'c': 3 + least(b2, {{'c': 3 + b3.c, 'a': 'I' || b3.a}}).c, 'a': 'I' || least(b2, {{'c': 3 + b3.c, 'a': 'I' || b3.a}}).a}}),
+    least(b1, {{'c': 3 + least(b2, {{'c': 3 + b3.c, 'a': 'I' || b3.a}}).c, 'a': 'I' || least(b2, {{'c': 3 + b3.c, 'a': 'I' || b3.a}}).a}}),
+    least(b2, {{'c': 3 + b3.c, 'a': 'I' || b3.a}}), least(b3, {{'c': 3 + b2.c, 'a': 'I' || b2.a}})
+  FROM (
+    SELECT f.conv_id, f.j,
+      least({{'c': 4 + v0.c, 'a': 'D' || v0.a}}, {{'c': free + CASE i WHEN 's' THEN v1.c WHEN 'u' THEN v2.c ELSE 999999 END, 'a': 'K' || CASE i WHEN 's' THEN v1.a ELSE v2.a END}}, {{'c': free + 3 + v2.c, 'a': 'R' || v2.a}}) AS b0,
+      least({{'c': 4 + v1.c, 'a': 'D' || v1.a}}, {{'c': free + CASE i WHEN 'u' THEN v2.c ELSE 999999 END, 'a': 'K' || v2.a}}, {{'c': free + 3 + v2.c, 'a': 'R' || v2.a}}) AS b1,
+      least({{'c': 4 + v2.c, 'a': 'D' || v2.a}}, {{'c': free + CASE i WHEN 'a' THEN v3.c ELSE 999999 END, 'a': 'K' || v3.a}}, {{'c': free + 3 + v3.c, 'a': 'R' || v3.a}}) AS b2,
+      least({{'c': 4 + v3.c, 'a': 'D' || v3.a}}, {{'c': free + CASE i WHEN 'u' THEN v2.c ELSE 999999 END, 'a': 'K' || v2.a}}, {{'c': free + 3 + v2.c, 'a': 'R' || v2.a}}) AS b3
+    FROM best JOIN (SELECT *, CASE fault WHEN 't' THEN 3 WHEN '-' THEN 0 ELSE 999999 END AS free FROM faults) f
+      ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.j = best.j - 1)),
+audits AS MATERIALIZED (SELECT conv_id, v0.c AS cost, v0.a AS audit FROM best WHERE j = 1),
+walk(conv_id, audit, k, j, s, made) AS (
+  SELECT conv_id, audit, 0, 0, 0, CAST(NULL AS VARCHAR) FROM audits
+  UNION ALL
+  SELECT conv_id, audit, k + 1, j, t,
+    CASE WHEN edit = 'D' THEN made ELSE concat_ws(chr(10), made, CASE WHEN edit = 'K' THEN role WHEN t = 2 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT w.*, f.role, f.text, CASE WHEN edit = 'D' THEN s WHEN edit = 'K' AND f.i = 's' THEN 1 WHEN s = 2 THEN 3 ELSE 2 END AS t
+    FROM (SELECT conv_id, audit, k, made, s, substr(audit, k + 1, 1) AS edit, j + CASE WHEN substr(audit, k + 1, 1) = 'I' THEN 0 ELSE 1 END AS j FROM walk WHERE k < length(audit)) w
+    JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.j = greatest(w.j, 1))),
+texts AS (SELECT conv_id, made FROM walk WHERE k = length(audit))
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op13_conversation_repair", REPAIR_SQL)
+def repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
