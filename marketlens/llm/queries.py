@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.llm import (
     ann_graph,
     byte_bpe,
+    context_mixing,
     conversation_repair,
     embedding_dedup,
     jaccard_join,
@@ -221,3 +222,9 @@ LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
 @query("op13_conversation_repair", REPAIR_SQL)
 def repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_lm_scoring")
+def score_by_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = context_mixing.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
