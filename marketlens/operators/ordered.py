@@ -18,7 +18,7 @@ _PLACE_BITS = 33
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], column: str = "row_number", name: str = "numbered") -> DataFrame:
-    """All rows and `column`: 0, 1, 2, ... along `order`, as a staged table; the input is computed once.
+    """All rows and `column`: 0, 1, 2, ... along `order`, as a staged table.
 
     Rows that agree in the whole order are numbered in any way. They may be so many that one range would hold
     them all, so they are dealt by their place in the input. An empty table stays empty.

@@ -33,13 +33,36 @@ def test_lags_match_pandas_at_any_tile_size(spark, tile_rows):
 
 
 def test_positions_and_tile_sizes_with_many_rows_per_day(spark):
-    # Revisions: several rows per day, and blocks that are larger than a tile.
-    rows = [("hot", datetime.date(2000, 1, 1) + datetime.timedelta(days=i // 40), float(i)) for i in range(2000)]
+    # Revisions: several rows per day, and days that are larger than a tile.
+    rows = [("hot", datetime.date(2000, 1, 1) + datetime.timedelta(days=i // 400), float(i)) for i in range(2000)]
     bars = spark.createDataFrame(rows, "symbol string, trade_date date, value double")
     cut = tiles.cut(bars, halo=20, ties=["value"], tile_rows=50)
     placed = cut.finish(cut.rows.withColumn("position", cut.position))
     assert placed.where(F.col("position") != F.col("value")).count() == 0 and placed.count() == 2000
-    assert cut.rows.groupBy("_tile").count().agg(F.max("count")).first()[0] <= 50 + 2 * 40 + 20
+    assert cut.rows.groupBy("_tile").count().agg(F.min("count"), F.max("count")).first()[:] == (50, 70)
+
+
+def test_one_hot_day_is_cut_like_any_other(spark):
+    day = F.lit("2000-01-03").cast("date")
+    bars = spark.range(30000).select(F.lit("hot").alias("symbol"), day.alias("trade_date"), (F.col("id") % 7).alias("value"))
+    cut = tiles.cut(bars, halo=60, ties=["value"])
+    sizes = cut.rows.groupBy("_tile").agg(F.count("*").alias("n"), F.sum(F.col("_own").cast("int")).alias("own"))
+    assert sizes.agg(F.max("n"), F.max("own"), F.sum("own")).first()[:] == (4096 + 60, 4096, 30000)
+    assert cut.rows.where("_own").agg(F.countDistinct(cut.position)).first()[0] == 30000
+
+
+def test_tiles_compute_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    bars = make_bars(spark, {"a": 300, "b": 20}).coalesce(1).mapInPandas(count, "symbol string, trade_date date, open double, high double, low double, close double, volume long")
+    X.lag_features(bars, tile_rows=64).collect()
+    # Once for the bounds of the ranges, which Spark samples, and once for the rows.
+    assert seen.value <= 2 * 320
 
 
 def test_shuffled_input_gives_the_same_rows(spark):
