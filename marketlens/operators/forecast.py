@@ -8,7 +8,7 @@ them. `fit_each` trains one model per symbol for a handful of symbols.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.vectors import slide
 from marketlens.operators import features as X
+from marketlens.operators.reservoir import Reservoir
 from marketlens.sources.scratch import staged
 
 TARGETS = ("volume", "close")
@@ -97,8 +98,8 @@ def boosted_trees(target: str, rounds: int = 100, depth: int = 6, step: float =
     )
 
 
-def linear_model(target: str) -> Estimator:
-    return LinearRegression(featuresCol="features", labelCol=target, predictionCol=f"{target}_hat", regParam=1e-4)
+def linear_model(target: str, ridge: float = 1e-4) -> Estimator:
+    return LinearRegression(featuresCol="features", labelCol=target, predictionCol=f"{target}_hat", regParam=ridge)
 
 
 ESTIMATORS = {"rf": random_forest, "gbt": boosted_trees, "linear": linear_model}
@@ -111,6 +112,7 @@ class Forecaster:
     models: dict[str, Model]
     inputs: list[str]
     means: DataFrame | None
+    encode: Callable[[Column], Column] | None = None
 
     def prepare(self, rows: DataFrame) -> DataFrame:
         """Add the symbol's means. A symbol without training rows takes the mean over symbols."""
@@ -251,16 +253,24 @@ def scaled_bars(bars: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def fit_sequences(train: DataFrame, kind: str = "linear", **settings) -> Forecaster:
-    """Fit close and volume on flattened windows(sequence, target_close, target_volume)."""
+    """Fit close and volume on windows(sequence, target_close, target_volume).
+
+    `linear` and the tree kinds read the flattened window; `reservoir` reads it row by row with a recurrent
+    state and fits a ridge regression on the last one. Its settings are those of `Reservoir`, and `ridge`.
+    """
+    encode = _flat
+    if kind == "reservoir":
+        network = Reservoir(**{k: settings.pop(k) for k in list(settings) if k != "ridge"})
+        kind, encode = "linear", lambda sequence: array_to_vector(network.encode(sequence))
     rows = train.select(
-        _flat(F.col("sequence")).alias("features"),
+        encode(F.col("sequence")).alias("features"),
         F.col("target_close").alias("close"), F.col("target_volume").alias("volume"),
     )
-    return Forecaster(_fit_targets(rows, kind, TARGETS, settings), ["sequence"], None)
+    return Forecaster(_fit_targets(rows, kind, TARGETS, settings), ["sequence"], None, encode)
 
 
 def predict_sequences(fitted: Forecaster, windows: DataFrame) -> DataFrame:
-    out = windows.withColumn("features", _flat(F.col("sequence")))
+    out = windows.withColumn("features", fitted.encode(F.col("sequence")))
     for model in fitted.models.values():
         out = model.transform(out)
     return out.drop("features")
@@ -294,12 +304,23 @@ def mse_by_symbol(scored: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataF
     )
 
 
+def _in_units(rows: DataFrame, limits: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """`columns` maps a new name to a scaled column and its target."""
+    joined = rows.join(limits, "symbol")
+    return joined.withColumns({
+        name: X.unit_scale_back(F.col(source), F.col(f"min_{t}"), F.col(f"max_{t}")) for name, (source, t) in columns.items()
+    })
+
+
 def score_sequences(fitted: Forecaster, test: DataFrame, limits: DataFrame) -> DataFrame:
     """Error of test windows in original units, per symbol (rows for a model_metrics table)."""
-    scored = predict_sequences(fitted, test).join(limits, "symbol")
-    restored = scored.withColumns({
-        name: X.unit_scale_back(F.col(source), F.col(f"min_{t}"), F.col(f"max_{t}"))
-        for t in TARGETS
-        for name, source in ((f"actual_{t}", f"target_{t}"), (f"predicted_{t}", f"{t}_hat"))
-    })
+    columns = {f"{p}_{t}": (source.format(t), t) for t in TARGETS for p, source in (("actual", "target_{}"), ("predicted", "{}_hat"))}
+    restored = _in_units(predict_sequences(fitted, test), limits, columns)
     return mse_by_symbol(restored, {f"mse_{t}": (f"actual_{t}", f"predicted_{t}") for t in TARGETS})
+
+
+def error_of_means(train: DataFrame, test: DataFrame, limits: DataFrame) -> DataFrame:
+    """What a model is measured against: the error per symbol of its mean over the training windows, in original units."""
+    means = train.groupBy("symbol").agg(*[F.avg(f"target_{t}").alias(f"mean_{t}") for t in TARGETS])
+    columns = {f"{p}_{t}": (source.format(t), t) for t in TARGETS for p, source in (("actual", "target_{}"), ("guess", "mean_{}"))}
+    return mse_by_symbol(_in_units(test.join(means, "symbol"), limits, columns), {f"mean_mse_{t}": (f"actual_{t}", f"guess_{t}") for t in TARGETS})

@@ -15,7 +15,7 @@ from marketlens.sources import landing, sinks
 from marketlens.sources.scratch import staged
 
 # Sequence models by the name their predictions are stored under.
-SEQUENCE_KINDS = {"seq_a": "linear", "seq_b": "gbt"}
+SEQUENCE_KINDS = {"seq_a": "linear", "seq_b": "reservoir"}
 
 
 # --- stock bars -----------------------------------------------------------------
@@ -80,9 +80,9 @@ def store_features(bars: DataFrame, path: str, run_ts: str, seed: int = 42) -> N
 def forecast_trades(bars: DataFrame, as_of: str, models: dict[str, dict] | None = None) -> dict[str, DataFrame]:
     """Forecasts by model name. Features are written once before the fits, which read them several times.
 
-    `models` maps any of rf, gbt, seq_a (linear) and seq_b (boosted trees) to settings.
+    `models` maps any of rf, gbt, seq_a (linear) and seq_b (recurrent) to settings.
     """
-    wanted = models if models is not None else {"rf": {}, "gbt": {}, "seq_a": {}, "seq_b": {"rounds": 10, "depth": 4}}
+    wanted = models if models is not None else {"rf": {}, "gbt": {}, "seq_a": {}, "seq_b": {}}
     out = {}
     if {"rf", "gbt"} & set(wanted):
         newest, moments = scaled_features(bars)
@@ -100,12 +100,13 @@ def forecast_trades(bars: DataFrame, as_of: str, models: dict[str, dict] | None
 
 
 def score_trades(bars: DataFrame, models: dict[str, dict]) -> DataFrame:
-    """Held-out error per symbol and sequence model: rows of the model_metrics table."""
+    """Held-out error per symbol and sequence model, beside that of the training mean: rows of the model_metrics table."""
     scores = {}
     parts = SequenceParts(bars)
+    means = staged(forecast.error_of_means(parts.train, parts.test, parts.limits), "mean-errors")
     for name, settings in models.items():
         fitted = forecast.fit_sequences(parts.train, SEQUENCE_KINDS[name], **settings)
-        scores[name] = forecast.score_sequences(fitted, parts.test, parts.limits)
+        scores[name] = forecast.score_sequences(fitted, parts.test, parts.limits).join(means, "symbol")
     return forecast.union_forecasts(scores)
 
 

@@ -1,11 +1,13 @@
 import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marketlens.operators import features as X
 from marketlens.operators import forecast as M
+from marketlens.operators.reservoir import Reservoir
 from marketlens.plans import jobs
 from tests_support import make_bars
 
@@ -19,7 +21,7 @@ def bars(spark):
 
 @pytest.fixture(scope="module")
 def forecasts(bars):
-    small = {"rf": {"trees": 3, "depth": 3}, "gbt": {"rounds": 2, "depth": 3}, "seq_a": {}, "seq_b": {"rounds": 2, "depth": 2}}
+    small = {"rf": {"trees": 3, "depth": 3}, "gbt": {"rounds": 2, "depth": 3}, "seq_a": {}, "seq_b": {"units": 6}}
     return {name: df.collect() for name, df in jobs.forecast_trades(bars, AS_OF, small).items()}
 
 
@@ -81,10 +83,46 @@ def test_unknown_symbol_takes_the_overall_mean(spark, bars):
 
 
 def test_errors_in_original_units(bars):
-    scores = jobs.score_trades(bars, {"seq_a": {}}).collect()
+    scores = jobs.score_trades(bars, {"seq_a": {}, "seq_b": {}}).collect()
+    assert {(r["model"], r["symbol"]) for r in scores} == {(m, s) for m in ("seq_a", "seq_b") for s in "abc"}
     assert {r["symbol"] for r in scores} == {"a", "b", "c"} and all(0 < r["mse_close"] < 200 for r in scores)
 
 
+def test_reservoir_state_is_the_recurrence(spark):
+    network = Reservoir(units=5, seed=3)
+    rng = random.Random(1)
+    sequence = [(rng.random(), rng.random()) for _ in range(30)] + [(None, 0.5)]
+    df = spark.createDataFrame([(sequence,), ([],)], "sequence array<struct<close: double, volume: double>>")
+    wanted = [0.0] * 5
+    for close, volume in sequence:
+        wanted = [
+            math.tanh(w["close"] * (close or 0) + w["volume"] * (volume or 0) + w["bias"] + w["own"] * wanted[i] + w["first"] * wanted[w["one"]] + w["second"] * wanted[w["two"]])
+            for i, w in enumerate(network.weights)
+        ]
+    full, empty = (r["s"] for r in df.select(network.state(F.col("sequence")).alias("s")).collect())
+    assert full == pytest.approx(wanted) and empty == [0.0] * 5
+    assert Reservoir(units=5, seed=3).weights == network.weights != Reservoir(units=5, seed=4).weights
+
+
+def test_sequence_models_beat_the_mean_where_there_is_something_to_learn(spark):
+    rng, rows = random.Random(7), []
+    for symbol, step in (("slow", 0.12), ("fast", 0.6), ("mid", 0.3)):
+        for i in range(420):
+            wave = 50 + 20 * math.sin(step * i) + rng.gauss(0, 1)
+            rows.append((symbol, datetime.date(2000, 1, 1) + datetime.timedelta(days=i), wave, wave + 1, wave - 1, wave, int(1000 + 300 * math.cos(step * i) + rng.gauss(0, 9))))
+    waves = spark.createDataFrame(rows, "symbol string, trade_date date, open double, high double, low double, close double, volume long")
+    scores = jobs.score_trades(waves, {"seq_a": {}, "seq_b": {}}).collect()
+    assert len(scores) == 6
+    for r in scores:
+        assert r["mse_close"] < 0.2 * r["mean_mse_close"] and r["mse_volume"] < 0.2 * r["mean_mse_volume"], r
+
+
+def test_sequence_state_stays_in_the_jvm(bars):
+    windows = X.sequence_windows(bars)
+    plan = windows.select(Reservoir().encode(F.col("sequence")))._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate" in plan and "Python" not in plan
+
+
 def test_boosted_trees_are_registered_with_full_settings(spark, sf_dir, monkeypatch):
     from marketlens.plans import forecast_queries
 

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as registered
 from tools.check import TABLES, sql_rows, table_rows
 
-SLOW = {"forecast_gbt", "forecast_seq_trees", "forecast_rf", "forecast_seq", "model_metrics"}
+SLOW = {"forecast_gbt", "forecast_seq_reservoir", "forecast_rf", "forecast_seq", "model_metrics"}
 
 
 @pytest.fixture(scope="module")
