@@ -53,4 +53,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     with _shuffles_removed(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read again. Only what `staged` returned can be removed."""
+    for table in tables:
+        path, jvm = table._staged_path, table.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

@@ -213,3 +213,15 @@ def test_loading_trades_returns_what_it_sets_aside(spark, tmp_path, db):
 def test_shared_folder(spark):
     assert scratch.shared_folder(spark) == scratch.shared_folder(spark)
     assert scratch.staged(spark.range(3), "numbers").count() == 3
+
+
+def test_staged_tables_can_be_removed(spark):
+    import os
+
+    kept, gone = scratch.staged(spark.range(5).toDF("a"), "kept"), scratch.staged(spark.range(5).toDF("a"), "gone")
+    folder = gone.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    scratch.discard(gone)
+    assert not os.path.exists(folder) and kept.count() == 5
+    with pytest.raises(AttributeError):
+        scratch.discard(spark.range(1))
