@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.components import components, merged
 from marketlens.llm.texts import chunked, give_back, lowered, mixed, prefix_hashes, small_batches, span_hashes, word_spans
-from marketlens.sources.scratch import staged
+from marketlens.sources.scratch import discard, staged
 
 WORDS_PER_SHINGLE = 3
 PERCENT = 90
@@ -266,15 +266,18 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHIN
     empty set and are linked with nothing. A row without a doc_id gets its size and no component. Rows that
     repeat a doc_id are judged each by its own text. An empty table gives an empty result.
     """
-    rows = staged(_sets(docs, percent, width), "jaccard-sets")
-    alike = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"))
+    sets = staged(_sets(docs, percent, width), "jaccard-sets")
+    alike = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"))
     alike = staged(alike, "jaccard-alike")
 
-    # The cells that more than one set falls into.
-    stand_ins = rows.withColumn("node", F.col("doc_id")).join(alike, ["node", "n", "one", "two"], "left_semi")
+    # The cells that more than one set falls into: one shuffle by cell gives both the count and the members.
+    stand_ins = sets.withColumn("node", F.col("doc_id")).join(alike, ["node", "n", "one", "two"], "left_semi")
     dealt = stand_ins.select("node", F.explode("signatures").alias("cell"))
-    shared = dealt.groupBy("cell").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("cell", "pivot")
-    members = staged(dealt.join(shared, "cell").select("cell", "pivot", "node").distinct(), "jaccard-members")
+    whole_cell = Window.partitionBy("cell")
+    dealt = dealt.withColumns({"pivot": F.min("node").over(whole_cell), "other": F.max("node").over(whole_cell)})
+    members = staged(dealt.where("pivot < other").select("cell", "pivot", "node").distinct(), "jaccard-members")
+    rows = staged(sets.select("doc_id", "n", "one", "two"), "jaccard-rows")
+    discard(sets)
     contents = staged(_contents(docs, members.select("node").distinct(), width), "jaccard-contents")
 
     # Regions: every set goes to the pivot of its first cell; sets alike tend to agree on that cell.
@@ -301,16 +304,20 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHIN
 
     # Cells that hold several components: to close most of them early, the sets outside a cell's largest component
     # meet one of that component's sets in each of their cells.
-    now = still_open(members.select("cell", "node"), component).join(sizes, "node")
-    contents = staged(contents.join(now.select("node").distinct(), "node", "left_semi"), "jaccard-contents")
+    open_members = still_open(members.select("cell", "node"), component)
+    now = open_members.join(sizes, "node")
+    open_contents = staged(contents.join(now.select("node").distinct(), "node", "left_semi"), "jaccard-contents")
+    discard(members, contents)
     probe = now.where("component = main").groupBy("cell").agg(F.min(F.struct(F.xxhash64("cell", "node"), "node", "n")).alias("m")).select("cell", F.col("m.node").alias("a"), F.col("m.n").alias("n_a"))
     probes = now.where("component <> main").select("cell", F.col("node").alias("b"), "n").join(probe, "cell").where(fitting("n", "n_a"))
-    component = merged(component, _verified(unseen(probes), contents).where(linked).select("a", "b"))
+    component = merged(component, _verified(unseen(probes), open_contents).where(linked).select("a", "b"))
 
     # What is still open is joined by region: the cells around one component, every set once.
-    region = still_open(now.select("cell", "node"), component).select(F.col("main").alias("region"), "node", "component").distinct()
-    component = merged(component, _region_links(staged(region, "jaccard-regions"), contents, percent))
+    region = staged(still_open(now.select("cell", "node"), component).select(F.col("main").alias("region"), "node", "component").distinct(), "jaccard-regions")
+    component = merged(component, _region_links(region, open_contents, percent))
 
     whole = rows.select("doc_id", "n", "one", "two").join(alike, ["n", "one", "two"], "left").join(component, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    judged = staged(whole.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), "jaccard-classes")
+    discard(rows, alike, checked, open_members, open_contents, region, component)
+    return judged
