@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import byte_bpe, jaccard_join, language_id, mixing, queries, secret_scan
-from marketlens.sources.scratch import new_path, staged
+from marketlens.operators.ordered import numbered
+from marketlens.sources.scratch import discard, new_path, staged
 
 ORACLE_SQL = None
 #: What links two documents: the contract of stages on word shingles, which is not that of the op2 query.
@@ -23,21 +24,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.predict(judged, model).where(~F.col("rejected")).select("llm_row.*")
 
 
+def with_row_numbers(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """All rows and `llm_row`, a number that every later read gives again: the number of the row's file and its place in it.
+
+    A stage's rows are files already, so nothing is written but the list of files; rows from elsewhere are written once.
+    """
+    if not docs.inputFiles():
+        docs = staged(docs, "pipeline-rows")
+    files = docs.select(F.col("_metadata.file_path").alias("llm_file")).distinct()
+    files = staged(numbered(files, ["llm_file"], "llm_file_number", "pipeline-files"), "pipeline-file-numbers")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("llm_file"), F.col("_metadata.row_index").alias("llm_place"))
+    number = F.shiftleft("llm_file_number", 33) + F.col("llm_place")
+    return placed.join(files, "llm_file").withColumn("llm_row", number).drop("llm_file", "llm_place", "llm_file_number")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one stays: that of the least doc_id, then of the least digest of its columns.
 
     Rows are linked by their five-word shingles at a Jaccard index of 0.8. They are judged one by one, whatever ids they
     repeat or lack; a row without an id goes if a row with one is left. Rows without words are linked with nothing.
     """
-    # Row numbers are made once and written, so that every later read has the same ones.
-    rows = staged(docs.withColumn("llm_row", F.monotonically_increasing_id()), "pipeline-rows")
+    rows = with_row_numbers(spark, docs)
     judged = jaccard_join.classes(rows.select(F.col("llm_row").alias("doc_id"), "text"), percent=PERCENT, width=WORDS_PER_SHINGLE)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("digest"), "llm_row").alias("place")
-    judged = judged.select(F.col("doc_id").alias("llm_row"), "component_id").join(rows.select("llm_row", order), "llm_row")
-    judged = staged(judged, "pipeline-judged")
-    best = judged.groupBy("component_id").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1")
-    dropped = judged.join(best, "component_id").where("llm_row <> best.llm_row").select("llm_row")
-    return rows.join(dropped, "llm_row", "left_anti").drop("llm_row")
+    named = judged.select(F.col("doc_id").alias("llm_row"), "component_id").join(rows.select("llm_row", order), "llm_row")
+    placed = staged(named, "pipeline-judged")
+    discard(judged)
+    best = placed.groupBy("component_id").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1")
+    dropped = placed.join(best, "component_id").where("llm_row <> best.llm_row").select("llm_row")
+    return rows.join(dropped, "llm_row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
