@@ -9,6 +9,9 @@ found there form components. Sets of one component need no comparison. Cells tha
 are joined again by region, the cells around one component: every set is kept as its difference from the region's pivot,
 the set of what most members hold, from which all distances follow exactly. No pair is emitted but links that join
 components, and nothing is capped.
+
+Sets travel only where a link is possible. A set's profile counts its hashes in 256 ranges; the counts of two sets differ by no
+more than the sets do, so that profiles too far apart rule a link out for certain. What they leave is compared exactly.
 """
 
 from __future__ import annotations
@@ -131,22 +134,54 @@ def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n long, one long, two long, signatures array<long>")
 
 
+def profile(hashes: np.ndarray) -> np.ndarray:
+    """Counts of the hashes in 256 ranges, 255 at most."""
+    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8)
+
+
+def may_link(one: np.ndarray, n_one: np.ndarray, two: np.ndarray, n_two: np.ndarray, percent: int) -> np.ndarray:
+    """False only where the profiles prove the Jaccard index to be below `percent`."""
+    apart = np.abs(one.astype(np.int16) - two.astype(np.int16)).sum(-1, dtype=np.int64)
+    return (100 + percent) * apart <= (100 - percent) * (n_one + n_two)
+
+
 def _contents(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of the texts that stand for a set in a shared cell."""
+    """(node, n, profile, hashes) of the texts that stand for a set in a shared cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), width))
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([profile(s).tobytes() for s in sets], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
+                names=["node", "n", "profile", "hashes"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    return rows.mapInArrow(run, "node long, hashes array<long>")
+    return rows.mapInArrow(run, "node long, n long, profile binary, hashes array<long>")
+
 
+def _profiles(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 256)
 
-def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """(a, b, same, together): sizes of the intersection and the union of each pair."""
+
+def _possible(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their profiles do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [(_profiles(batch.column(f"p_{x}")), batch.column(f"n_{x}").to_numpy()) for x in "ab"]
+            keep = pa.array(may_link(*sides[0], *sides[1], percent))
+            yield batch.select(["a", "b"]).filter(keep)
+
+    of = {x: contents.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("profile").alias(f"p_{x}")) for x in "ab"}
+    return staged(pairs.select("a", "b").join(of["a"], "a").join(of["b"], "b").mapInArrow(run, "a long, b long"), "jaccard-pairs")
+
+
+def _verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """(a, b, same, together): sizes of the intersection and the union of each pair that can be a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +203,11 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 
     left = contents.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     right = contents.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    return staged(joined.mapInArrow(run, "a long, b long, same long, together long"), "jaccard-verified")
+    possible = _possible(pairs, contents, percent)
+    joined = possible.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+    verified = staged(joined.mapInArrow(run, "a long, b long, same long, together long"), "jaccard-verified")
+    discard(possible)
+    return verified
 
 
 def block_links(sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -220,43 +258,74 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, per
     return out
 
 
-def _region_links(region: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """Links inside each region. A large region is dealt to parts, and every two parts meet in a block of their own."""
+_PLACE = ["region", "low", "high"]
+
+
+def _met(region: DataFrame, contents: DataFrame) -> DataFrame:
+    """The sets of each region, in blocks. A large region is dealt to parts, and every two parts meet in a block of their own."""
     parts = region.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = region.join(parts, "region").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
     dealt = dealt.select("region", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), side.alias("side"), "component", "node")
-    block = ["region", "low", "high"]
-    rows = dealt.join(contents, "node").repartition(*block).sortWithinPartitions(*block)
+    return dealt.join(contents, "node").repartition(*_PLACE).sortWithinPartitions(*_PLACE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
 
-        def finish() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            lists = t.column("hashes").chunk(0)
-            flat, cuts = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
-            nodes = t.column("node").to_numpy()
-            found = block_links([flat[a:b] for a, b in zip(cuts, cuts[1:])], t.column("side").to_numpy(), t.column("component").to_numpy(), percent)
-            a, b = ([nodes[x[k]] for x in found] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _by_block(rows: DataFrame, finish, schema: str) -> DataFrame:
+    """`finish(table)` of the rows of each block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in block)))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in _PLACE)))
             cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
             for i, j in zip(cuts, cuts[1:]):
                 if keys[i] != now and held:
-                    yield finish()
+                    yield finish(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 now = keys[i]
                 held.append(batch.slice(i, j - i))
         if held:
-            yield finish()
+            yield finish(pa.Table.from_batches(held).combine_chunks())
         held = []
         give_back()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, schema)
+
+
+def _apart(side: np.ndarray, group: np.ndarray, rows: slice) -> np.ndarray:
+    """Which sets of a block are to be compared with those of `rows`: of another component, and of the other part."""
+    other = group[rows, None] != group[None, :]
+    return other & (side[rows, None] != side[None, :]) if side.any() else other
+
+
+def _open_rows(region: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """The rows of each region that may be linked with a set of another component there, by their profiles."""
+
+    def finish(t: pa.Table) -> pa.RecordBatch:
+        profiles, n, side, group = _profiles(t.column("profile")), t.column("n").to_numpy(), t.column("side").to_numpy(), t.column("component").to_numpy()
+        near = np.zeros(len(n), bool)
+        for i in range(0, len(n), 16):
+            rows = slice(i, i + 16)
+            near[rows] = (may_link(profiles[rows, None], n[rows, None], profiles[None], n[None], percent) & _apart(side, group, rows)).any(1)
+        return t.select(["region", "node", "component"]).filter(pa.array(near)).combine_chunks().to_batches()[0] if near.any() else pa.RecordBatch.from_pylist([], t.select(["region", "node", "component"]).schema)
+
+    rows = _met(region, contents.select("node", "n", "profile"))
+    return staged(_by_block(rows, finish, "region long, node long, component long").distinct(), "jaccard-regions")
+
+
+def _region_links(region: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """Links inside each region."""
+
+    def finish(t: pa.Table) -> pa.RecordBatch:
+        lists = t.column("hashes").chunk(0)
+        flat, cuts = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
+        nodes = t.column("node").to_numpy()
+        found = block_links([flat[a:b] for a, b in zip(cuts, cuts[1:])], t.column("side").to_numpy(), t.column("component").to_numpy(), percent)
+        a, b = ([nodes[x[k]] for x in found] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_block(_met(region, contents.select("node", "hashes")), finish, "a long, b long")
 
 
 def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHINGLE) -> DataFrame:
@@ -282,7 +351,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHIN
 
     # Regions: every set goes to the pivot of its first cell; sets alike tend to agree on that cell.
     first = members.where("node <> pivot").groupBy("node").agg(F.min(F.struct("cell", "pivot")).alias("m"))
-    checked = _verified(first.select(F.col("m.pivot").alias("a"), F.col("node").alias("b")), contents)
+    checked = _verified(first.select(F.col("m.pivot").alias("a"), F.col("node").alias("b")), contents, percent)
     linked = 100 * F.col("same") >= percent * F.col("together")
     component = components(checked.where(linked).select("a", "b"))
     sizes = alike.groupBy("node").agg(F.min("n").alias("n"))
@@ -306,18 +375,18 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHIN
     # meet one of that component's sets in each of their cells.
     open_members = still_open(members.select("cell", "node"), component)
     now = open_members.join(sizes, "node")
-    open_contents = staged(contents.join(now.select("node").distinct(), "node", "left_semi"), "jaccard-contents")
-    discard(members, contents)
+    discard(members)
     probe = now.where("component = main").groupBy("cell").agg(F.min(F.struct(F.xxhash64("cell", "node"), "node", "n")).alias("m")).select("cell", F.col("m.node").alias("a"), F.col("m.n").alias("n_a"))
     probes = now.where("component <> main").select("cell", F.col("node").alias("b"), "n").join(probe, "cell").where(fitting("n", "n_a"))
-    component = merged(component, _verified(unseen(probes), open_contents).where(linked).select("a", "b"))
+    component = merged(component, _verified(unseen(probes), contents, percent).where(linked).select("a", "b"))
 
     # What is still open is joined by region: the cells around one component, every set once.
     region = staged(still_open(now.select("cell", "node"), component).select(F.col("main").alias("region"), "node", "component").distinct(), "jaccard-regions")
-    component = merged(component, _region_links(region, open_contents, percent))
+    every, region = region, _open_rows(region, contents, percent)
+    component = merged(component, _region_links(region, contents, percent))
 
     whole = rows.select("doc_id", "n", "one", "two").join(alike, ["n", "one", "two"], "left").join(component, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     judged = staged(whole.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), "jaccard-classes")
-    discard(rows, alike, checked, open_members, open_contents, region, component)
+    discard(rows, alike, checked, open_members, contents, every, region, component)
     return judged

@@ -72,3 +72,19 @@ def test_regions_in_parts(docs_of, monkeypatch, block):
     base = [f"b{i}" for i in range(100)]
     rows = list(enumerate(near_copies(rng, base, 120, 9)))
     assert found(docs_of(rows)) == jaccard_classes(rows)
+
+
+@pytest.mark.parametrize("n", [1, 5, 60, 900, 30000])
+def test_profiles_rule_out_no_link(n):
+    rng = np.random.default_rng(n)
+    for _ in range(60):
+        # 255 is the most a range can count: the large sets go beyond it.
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64) >> np.uint64(rng.integers(0, 3) * 2)
+        other = np.concatenate([base[: int(n * rng.uniform(0.7, 1))], rng.integers(0, 1 << 63, int(n * rng.uniform(0, 0.3)), dtype=np.uint64)])
+        a, b = np.unique(base), np.unique(other)
+        same = len(np.intersect1d(a, b))
+        for percent in (80, 90):
+            if 100 * same >= percent * (len(a) + len(b) - same):
+                assert jaccard_join.may_link(jaccard_join.profile(a), len(a), jaccard_join.profile(b), len(b), percent)
+    far = [jaccard_join.profile(rng.integers(0, 1 << 64, 1000, dtype=np.uint64)) for _ in range(2)]
+    assert not jaccard_join.may_link(far[0], 1000, far[1], 1000, 80)
