@@ -31,6 +31,19 @@ def lookup_cik(rows: DataFrame, dim: DataFrame, symbol: str = "symbol") -> DataF
     return rows.join(ids, symbol)
 
 
+def name_companies(docs: DataFrame, dim: DataFrame) -> DataFrame:
+    """Documents named by the symbol of their file: company and CIK of a symbol that the dimension holds.
+
+    Other documents keep the name and the CIK they bring. A symbol has one CIK: the least, if the dimension repeats it.
+    """
+    ids = dim.groupBy("symbol").agg(V.padded_id(F.min("cik")).alias("_cik"))
+    known = F.col("_cik").isNotNull()
+    return docs.join(ids, "symbol", "left").withColumns({
+        "company_name": F.when(known, F.col("symbol")).otherwise(F.coalesce("company_name", "symbol")),
+        "cik": F.coalesce("_cik", "cik"),
+    }).drop("_cik")
+
+
 def _recent(name: str) -> Column:
     return F.col(f"filings.recent.{name}")
 

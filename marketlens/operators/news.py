@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,6 +121,21 @@ def _polarity_by_join(articles: DataFrame, lexicon: DataFrame, text: str, score:
     return scored.select(*articles.columns, score)
 
 
+#: What scores a text: a lexicon(word, polarity, intensity), or a function from a text column to a number column.
+Scorer = DataFrame | Callable[[Column], Column]
+
+
+def score_sentiment(articles: DataFrame, scorer: Scorer, text: str = "summary", score: str = "custom_sentiment_score") -> DataFrame:
+    """Polarity of a text by a lexicon, or by any function of columns, such as an Arrow pandas UDF around a model.
+
+    A function's NULL or NaN counts as 0, and its result is kept within -1 and 1, as a lexicon's is.
+    """
+    if isinstance(scorer, DataFrame):
+        return lexicon_polarity(articles, scorer, text, score)
+    value = V.finite(scorer(F.coalesce(F.col(text), F.lit(""))).cast("double"))
+    return articles.withColumn(score, _clip(F.coalesce(value, F.lit(0.0))))
+
+
 def label_sentiment(df: DataFrame, score: str = "custom_sentiment_score",
                     label: str = "custom_sentiment_label") -> DataFrame:
     return df.withColumn(label, V.sentiment_label(F.col(score)))

@@ -144,12 +144,49 @@ def quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("symbol", F.col("trade_date").alias("date"), reason.alias("reason"))
 
 
+def _streamed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars and rejects of documents that land twice, one run for each landing; symbols are in the meta data alone."""
+    landed, out, rejected, checkpoint = (new_path(spark, n) for n in ("landing", "bars", "rejected", "progress"))
+    for _ in range(2):
+        docs.drop("symbol").write.mode("append").json(landed)
+        ingest.run_bars(ingest.stream_series(spark, landed), out, rejected, checkpoint, start="1900-01-01")
+    bars = spark.read.schema(ingest.STORED_BARS).parquet(out).select(*S.TRADES.names)
+    return bars, spark.read.parquet(rejected)
+
+
 @query("stream_bars", PLAIN)
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landed, out, checkpoint = (new_path(spark, n) for n in ("landing", "bars", "progress"))
-    _clean_documents(spark, sf_dir).write.json(landed)
-    ingest.run_available(ingest.stream_bars(spark, landed), out, checkpoint)
-    return spark.read.schema(S.TRADES).parquet(out)
+    return _streamed(spark, _clean_documents(spark, sf_dir))[0]
+
+
+DIRTY_DATE = "CASE WHEN noise = 3 THEN 'x' || CAST(trade_date AS VARCHAR) ELSE CAST(trade_date AS VARCHAR) END"
+
+
+@query("stream_bars_dirty", NOISY + """
+SELECT DISTINCT symbol, CASE WHEN noise <> 3 THEN CAST(trade_date AS VARCHAR) END AS trade_date,
+  CASE WHEN noise NOT IN (1, 4) THEN open END AS open, high, low, "close", CASE WHEN noise = 2 THEN 0 ELSE volume END AS volume
+FROM noisy WHERE noise NOT IN (0, 5, 6)""")
+def stream_bars_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, views.series_documents(_raw(spark, sf_dir)))[0]
+
+
+@query("stream_bars_rejected", NOISY + f"""
+SELECT symbol, {DIRTY_DATE} AS date, CASE WHEN noise = 5 THEN 'volume' ELSE 'number: open' END AS reason, 2 AS arrivals
+FROM noisy WHERE noise IN (0, 5, 6)""")
+def stream_bars_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejected = _streamed(spark, views.series_documents(_raw(spark, sf_dir)))
+    return rejected.groupBy("symbol", "date", "reason").agg(F.count(F.lit(1)).cast("int").alias("arrivals"))
+
+
+@query("bars_by_file_name", PLAIN)
+def bars_by_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One folder per symbol stands for one file per symbol; the documents themselves name none.
+    path = new_path(spark, "series")
+    docs = _clean_documents(spark, sf_dir).withColumn("entity", F.col("symbol")).drop("symbol", S.META_KEY)
+    gated = docs.withColumn(S.META_KEY, F.create_map(F.lit("1. Information"), F.lit("daily")))
+    sinks.balanced(gated, "entity").write.partitionBy("entity").json(path)
+    found = landing.read_series(spark, f"{path}/*", lines=True, name_pattern=r"entity=([^/]+)/")
+    return jobs.bars_from_documents(found, start="1900-01-01")
 
 
 # --- flattening and cleaning -----------------------------------------------------

@@ -9,10 +9,10 @@ from marketlens.functions import vectors as W
 from marketlens.operators import filings as G
 from marketlens.operators import questions as A
 from marketlens.operators import retrieval as R
-from marketlens.plans import views
+from marketlens.plans import jobs, views
 from marketlens.plans import sql_views as Q
 from marketlens.plans.registry import query
-from marketlens.sources import landing
+from marketlens.sources import landing, sinks
 from marketlens.sources.scratch import new_path
 
 FILINGS = Q.with_views(Q.FILINGS)
@@ -47,6 +47,21 @@ def flatten_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(G.flatten_filings(views.filings_documents(spark, sf_dir)))
 
 
+# Two of three customers belong to a company that the dimension knows; the others keep the name and id of their documents.
+@query("filings_from_files", FILINGS + """
+, named AS (SELECT *, CAST(cik AS BIGINT) % 30 AS n FROM filings)
+SELECT CASE WHEN n < 20 THEN 'F' || n ELSE company_name END AS company_name,
+  CASE WHEN n < 20 THEN lpad(CAST(700 + n AS VARCHAR), 10, '0') ELSE cik END AS cik,
+  form_type, filing_date, link_1 || ',' || link_2 AS document_links, description FROM named""")
+def filings_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "filings")
+    docs = views.filings_documents(spark, sf_dir)
+    lines = docs.select(F.concat(F.lit("F"), F.col("cik").cast("long") % 30).alias("entity"), F.to_json(F.struct("*")).alias("value"))
+    sinks.balanced(lines, "entity").write.partitionBy("entity").text(path)
+    ciks = G.cik_frame(spark, {f"F{n}": str(700 + n) for n in range(20)})
+    return _shown(jobs.filings_from_files(spark, f"{path}/*", lines=True, name_pattern=r"entity=([^/]+)/", ciks=ciks)[0])
+
+
 @query("uneven_filings", FILINGS + """
 SELECT 'C' || o_custkey AS company_name, CAST(o_custkey AS VARCHAR) AS cik, count(*) AS longest, count(*) - 1 AS shortest,
   1 AS entries_left_out FROM od WHERE o_custkey % 7 = 0 GROUP BY o_custkey, o_orderkey // 1000""")

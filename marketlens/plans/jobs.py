@@ -130,15 +130,20 @@ def store_forecasts(forecasts: dict[str, DataFrame], table: str) -> None:
 # --- news ------------------------------------------------------------------------
 
 def _first_articles(feed: DataFrame) -> DataFrame:
-    shaped = news.project_news(feed, extra=["feed_symbol", "feed_pos"])
-    order = [F.asc("feed_pos"), F.asc_nulls_last("original_sentiment_score"), F.asc("original_sentiment_label")]
+    place = "feed_order" if "feed_order" in feed.columns else "feed_pos"
+    project = news.project_variant_news if "item" in feed.columns else news.project_news
+    shaped = project(feed, extra=["feed_symbol", place])
+    order = [F.asc(place), F.asc_nulls_last("original_sentiment_score"), F.asc("original_sentiment_label")]
     return news.keep_first(shaped, ["feed_symbol", *news.NEWS_KEY], order, long_keys=True)
 
 
-def news_from_feed(feed: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Feed items(feed_symbol, feed_pos, ...) to the typed, distinct news table."""
+def news_from_feed(feed: DataFrame, scorer: news.Scorer) -> DataFrame:
+    """Feed items(feed_symbol, feed_pos or feed_order, ...) to the typed, distinct news table.
+
+    Items may be columns or variants; of a variant, a JSON null stays NULL. `scorer` is a lexicon or a function of columns.
+    """
     published, _ = news.split_unpublished(_first_articles(feed))
-    scored = news.label_sentiment(news.lexicon_polarity(published, lexicon))
+    scored = news.label_sentiment(news.score_sentiment(published, scorer))
     return sinks.conform(scored, S.NEWS_SENTIMENT).distinct()
 
 
@@ -147,20 +152,35 @@ def rejected_news(feed: DataFrame) -> DataFrame:
     return news.split_unpublished(_first_articles(feed))[1]
 
 
-def load_news(feed: DataFrame, lexicon: DataFrame, table: str) -> DataFrame:
+def load_news(feed: DataFrame, scorer: news.Scorer, table: str) -> DataFrame:
     """Append to the news table and keep its rows distinct; returns the articles that were set aside."""
     rejected = staged(rejected_news(feed), "rejected-news")
-    sinks.append_table(news_from_feed(feed, lexicon), table)
+    sinks.append_table(news_from_feed(feed, scorer), table)
     sinks.dedup_table(feed.sparkSession, table)
     return rejected
 
 
+def load_news_files(spark: SparkSession, landing_path: str, scorer: news.Scorer, table: str, lines: bool = False,
+                    name_pattern: str = landing.NEWS_NAME) -> DataFrame:
+    """`load_news` from landed files, one feed per symbol: defaults for missing keys only, first articles by file order."""
+    return load_news(landing.read_news_variant(spark, landing_path, lines, name_pattern), scorer, table)
+
+
 # --- filings ---------------------------------------------------------------------
 
-def load_filings(spark: SparkSession, landing_path: str, table: str, lines: bool = False) -> DataFrame:
+def filings_from_files(spark: SparkSession, landing_path: str, lines: bool = False, name_pattern: str = landing.FILINGS_NAME,
+                       ciks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Filings of readable documents, named through `ciks`(symbol, cik), and what was set aside."""
+    docs, unreadable = landing.read_filings(spark, landing_path, lines, name_pattern)
+    named = filings.name_companies(docs, filings.cik_frame(spark) if ciks is None else ciks)
+    return filings.flatten_filings(named), unreadable
+
+
+def load_filings(spark: SparkSession, landing_path: str, table: str, lines: bool = False,
+                 name_pattern: str = landing.FILINGS_NAME, ciks: DataFrame | None = None) -> DataFrame:
     """Append the filings of readable documents; returns what was set aside."""
-    docs, unreadable = landing.read_filings(spark, landing_path, lines)
-    sinks.append_table(filings.flatten_filings(docs), table)
+    found, unreadable = filings_from_files(spark, landing_path, lines, name_pattern, ciks)
+    sinks.append_table(found, table)
     return unreadable
 
 

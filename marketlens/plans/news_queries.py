@@ -78,7 +78,7 @@ def scan_news_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "news")
     _write_feed(views.news(spark, sf_dir), path)
     found = landing.read_news(spark, f"{path}/*", lines=True, name_pattern=FEED_SYMBOL)
-    return found.withColumn("summary_md5", F.md5("summary")).drop("summary")
+    return found.withColumn("summary_md5", F.md5("summary")).drop("summary", "feed_order")
 
 
 @query("scan_news_variant", NEWS + """
@@ -243,18 +243,24 @@ def news_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("news_table", POLARITY + """
+_NEWS_TABLE = POLARITY + """
 SELECT headline, md5(summary) AS summary_md5, original_sentiment_score, original_sentiment_label,
   round(score, 6) AS custom_sentiment_score,
   CASE WHEN score > 0 THEN 'Positive' WHEN score < 0 THEN 'Negative' ELSE 'Neutral' END AS custom_sentiment_label,
-  source, published_at FROM shaped JOIN polarity USING (feed_pos)""")
-def news_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = jobs.news_from_feed(views.news_twice(spark, sf_dir), _lexicon(spark))
+  source, published_at FROM shaped JOIN polarity USING (feed_pos)"""
+
+
+def _table_shown(typed: DataFrame) -> DataFrame:
     return typed.withColumns({
         "summary_md5": F.md5("summary"), "custom_sentiment_score": F.round("custom_sentiment_score", 6),
     }).drop("summary")
 
 
+@query("news_table", _NEWS_TABLE)
+def news_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_shown(jobs.news_from_feed(views.news_twice(spark, sf_dir), _lexicon(spark)))
+
+
 @query("stream_dedup_news", NEWS + """
 SELECT DISTINCT title AS headline, md5(summary) AS summary_md5, source, published_at FROM news""")
 def stream_dedup_news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +273,38 @@ def stream_dedup_news(spark: SparkSession, sf_dir: str) -> DataFrame:
         landing_now.write.mode("append").json(landed)
         ingest.run_news(ingest.stream_news(spark, landed), out, rejected, checkpoint)
     found = spark.read.schema(ingest.STORED_NEWS).parquet(out)
-    return found.withColumn("summary_md5", F.md5("summary")).drop("summary", "article_key", "published_date")
+    return found.select("headline", F.md5("summary").alias("summary_md5"), "source", "published_at")
+
+
+@query("stream_news_table", _NEWS_TABLE)
+def stream_news_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landed, out, rejected, checkpoint = (new_path(spark, n) for n in ("feed", "news", "rejected", "progress"))
+    feed = views.news(spark, sf_dir).drop("feed_symbol", "feed_pos")
+    for _ in range(2):  # the same items land twice
+        feed.write.mode("append").json(landed)
+        ingest.run_news(ingest.stream_news(spark, landed), out, rejected, checkpoint, _lexicon(spark))
+    return _table_shown(spark.read.schema(ingest.STORED_NEWS).parquet(out).select(*S.NEWS_SENTIMENT.names))
+
+
+@query("news_from_files", POLARITY + """
+SELECT title AS headline, md5(summary) AS summary_md5,
+  CASE WHEN feed_pos % 2 = 0 THEN overall_sentiment_score ELSE coalesce(overall_sentiment_score, 0) END AS original_sentiment_score,
+  CASE WHEN feed_pos % 2 = 0 THEN overall_sentiment_label ELSE coalesce(overall_sentiment_label, 'Unknown') END
+    AS original_sentiment_label,
+  round(score, 6) AS custom_sentiment_score,
+  CASE WHEN score > 0 THEN 'Positive' WHEN score < 0 THEN 'Negative' ELSE 'Neutral' END AS custom_sentiment_label,
+  source, published_at FROM news JOIN polarity USING (feed_pos)""")
+def news_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Files in two folders hold the feed twice, the later copy with some other scores; every other item writes its nulls out.
+    path = new_path(spark, "news")
+    twice = views.news_twice(spark, sf_dir)
+    for part, copy in enumerate((twice.where("feed_pos < 1000000000"), twice.where("feed_pos >= 1000000000"))):
+        item = F.struct(*S.NEWS_ITEM.names)
+        text = F.when(F.col("feed_pos") % 2 == 0, F.to_json(item, {"ignoreNullFields": "false"})).otherwise(F.to_json(item))
+        lines = copy.select("feed_symbol", text.alias("value"))
+        sinks.balanced(lines, "feed_symbol").write.partitionBy("feed_symbol").text(f"{path}/part={part}")
+    feed = landing.read_news_variant(spark, f"{path}/*/*", lines=True, name_pattern=FEED_SYMBOL)
+    return _table_shown(jobs.news_from_feed(feed, _lexicon(spark)))
 
 
 @query("rejected_news", SHAPED + """

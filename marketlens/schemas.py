@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 SERIES_KEY = "Time Series (Daily)"
 META_KEY = "Meta Data"
+META_SYMBOL = "2. Symbol"
 
 # Names of the daily-series fields in the landing documents.
 BAR_FIELDS = {

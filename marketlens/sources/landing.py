@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +13,20 @@ from marketlens import schemas as S
 CORRUPT = "_corrupt"
 
 
+# How the landing files of one symbol are named.
+SERIES_NAME = r"filtered_([^/]+)_data\.json"
+NEWS_NAME = r"news_([^/]+)_data\.json"
+FILINGS_NAME = r"raw_([^/]+)_10k\.json"
+
+
+def _named(pattern: str) -> Column:
+    """First group of `pattern` in the path of a row's file; NULL where it does not match."""
+    return F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), F.lit(""))
+
+
 def symbol_from_name(df: DataFrame, pattern: str, column: str = "symbol") -> DataFrame:
     """Add the entity named in each row's file path (first group of `pattern`)."""
-    return df.withColumn(column, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+    return df.withColumn(column, _named(pattern))
 
 
 def _json(spark: SparkSession, path: str, schema: T.StructType, lines: bool) -> DataFrame:
@@ -23,13 +34,22 @@ def _json(spark: SparkSession, path: str, schema: T.StructType, lines: bool) ->
     return spark.read.schema(schema).option("multiLine", str(not lines)).json(path)
 
 
+SERIES_SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), *S.SERIES_DOC.fields])
+
+
+def series_symbol(name_pattern: str | None = None) -> Column:
+    """Symbol of a daily-series document.
+
+    It is the one in the file's name if a pattern is given; else the document's own `symbol`, else the symbol
+    in its meta data, else the one in a name like `filtered_X_data.json`.
+    """
+    own = [F.col("symbol"), F.col(f"`{S.META_KEY}`")[S.META_SYMBOL]]
+    return F.coalesce(_named(name_pattern), *own) if name_pattern else F.coalesce(*own, _named(SERIES_NAME))
+
+
 def read_series(spark: SparkSession, path: str, lines: bool = False, name_pattern: str | None = None) -> DataFrame:
-    """Daily-series documents; the symbol is read from the document, or from the file name."""
-    schema = S.SERIES_DOC if name_pattern else T.StructType(
-        [T.StructField("symbol", T.StringType()), *S.SERIES_DOC.fields]
-    )
-    docs = _json(spark, path, schema, lines)
-    return symbol_from_name(docs, name_pattern) if name_pattern else docs
+    """Daily-series documents with their symbol (see `series_symbol`)."""
+    return _json(spark, path, SERIES_SCHEMA, lines).withColumn("symbol", series_symbol(name_pattern))
 
 
 def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -40,27 +60,52 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 def _news_texts(spark: SparkSession, path: str, lines: bool, name_pattern: str | None) -> tuple[DataFrame, list[str]]:
     texts = spark.read.text(path, wholetext=not lines)
     if name_pattern is None:
-        return texts, []
-    return symbol_from_name(texts, name_pattern, "feed_symbol"), ["feed_symbol"]
+        return texts.select("value", *feed_place()), []
+    return symbol_from_name(texts, name_pattern, "feed_symbol").select("feed_symbol", "value", *feed_place()), ["feed_symbol"]
+
+
+def feed_place() -> list[Column]:
+    """File, start of the block and a rising number, which together sort the lines of a feed.
+
+    The number only rises inside a task, and a task reads a block from front to back, so that the order is the same
+    whatever the blocks are dealt to.
+    """
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line")]
+
+
+def _feed_items(texts: DataFrame, names: list[str], items: Column) -> DataFrame:
+    """Items with their place in their array and a key that sorts them over all files of the feed."""
+    found = texts.select(*names, "file", "block", "line", F.posexplode(items).alias("feed_pos", "item"))
+    return found.select(*names, "feed_pos", F.struct("file", "block", "line", "feed_pos").alias("feed_order"), "item")
 
 
 def read_news(spark: SparkSession, path: str, lines: bool = False, name_pattern: str | None = None) -> DataFrame:
-    """Feed items with their position: a JSON array per file (or per line), or one item per line."""
+    """Feed items with their position: a JSON array per file (or per line), or one item per line.
+
+    `feed_pos` is the place in an array, `feed_order` the place in the whole feed: files by path, then lines, then items.
+    """
     texts, names = _news_texts(spark, path, lines, name_pattern)
     items = F.from_json("value", T.ArrayType(S.NEWS_ITEM))
-    return texts.select(*names, F.posexplode(items).alias("feed_pos", "item")).select(*names, "feed_pos", "item.*")
+    return _feed_items(texts, names, items).select(*names, "feed_pos", "feed_order", "item.*")
+
+
+def variant_items(texts: DataFrame, names: list[str]) -> DataFrame:
+    """Items, as variants, of texts(value, file, block, line) that hold an array of items or one item."""
+    record = F.try_parse_json("value")
+    many = F.try_variant_get(record, "$", "array<variant>")
+    return _feed_items(texts, names, F.coalesce(many, F.when(record.isNotNull(), F.array(record))))
 
 
 def read_news_variant(spark: SparkSession, path: str, lines: bool = False,
                       name_pattern: str | None = None) -> DataFrame:
     """As `read_news`, with each item as a variant, which tells a missing key from a JSON null."""
-    texts, names = _news_texts(spark, path, lines, name_pattern)
-    items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
-    return texts.select(*names, F.posexplode(items).alias("feed_pos", "item"))
+    return variant_items(*_news_texts(spark, path, lines, name_pattern))
 
 
-def read_filings(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Filings documents, and (file, text) of what could not be read as one.
+def read_filings(spark: SparkSession, path: str, lines: bool = False,
+                 name_pattern: str = FILINGS_NAME) -> tuple[DataFrame, DataFrame]:
+    """Filings documents with the symbol in their file's name, and (file, text) of what could not be read as one.
 
     An unreadable document is set aside; a file that vanishes while it is being read is skipped.
     """
@@ -69,10 +114,10 @@ def read_filings(spark: SparkSession, path: str, lines: bool = False) -> tuple[D
     ])
     texts = spark.read.option("ignoreMissingFiles", "true").text(path, wholetext=not lines)
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    docs = texts.select(F.col("_metadata.file_path").alias("file"), parsed.alias("doc"))
+    docs = texts.select(F.col("_metadata.file_path").alias("file"), _named(name_pattern).alias("symbol"), parsed.alias("doc"))
     unreadable = F.col(f"doc.{CORRUPT}").isNotNull()
     return (
-        docs.where(~unreadable).select("doc.*").drop(CORRUPT),
+        docs.where(~unreadable).select("symbol", "doc.*").drop(CORRUPT),
         docs.where(unreadable).select("file", F.col(f"doc.{CORRUPT}").alias("text")),
     )
 

@@ -8,84 +8,108 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens import schemas as S
-from marketlens.functions import values as V
-from marketlens.operators import series
+from marketlens.operators import news
 from marketlens.operators.news import NEWS_KEY
-from marketlens.operators.ranked import row_digest
-from marketlens.sources.scratch import staged
-from marketlens.sources.sinks import balanced
+from marketlens.operators.ranked import keep_first, row_digest
+from marketlens.plans import jobs
+from marketlens.sources import landing
+from marketlens.sources.scratch import discard, staged
+from marketlens.sources.sinks import balanced, conform
+
+STORED_BARS = T.StructType([
+    *S.TRADES.fields, T.StructField("bar_key", T.BinaryType()), T.StructField("trade_month", T.DateType()),
+])
+STORED_NEWS = T.StructType([
+    *S.NEWS_SENTIMENT.fields, T.StructField("article_key", T.BinaryType()), T.StructField("published_date", T.DateType()),
+])
+REJECTED_NEWS = "headline string, summary string, source string, time_published string, line string"
 
 
-def stream_bars(spark: SparkSession, folder: str, lines: bool = True, files_per_batch: int = 1000) -> DataFrame:
-    """Typed bars from daily-series documents as they land."""
-    schema = T.StructType([T.StructField("symbol", T.StringType()), *S.SERIES_DOC.fields])
+def stream_series(spark: SparkSession, folder: str, lines: bool = True, files_per_batch: int = 1000,
+                  name_pattern: str | None = None) -> DataFrame:
+    """Daily-series documents as they land, with their symbol; `run_bars` stores what they hold."""
     docs = (
-        spark.readStream.schema(schema).option("multiLine", str(not lines))
+        spark.readStream.schema(landing.SERIES_SCHEMA).option("multiLine", str(not lines))
         .option("maxFilesPerTrigger", files_per_batch).json(folder)
     )
-    valid, _ = series.gate_documents(docs)
-    good, _ = series.split_bad_numbers(series.flatten_series(valid))
-    whole, _ = series.split_fractional_volume(good)
-    return series.drop_null_key(series.type_records(whole))
+    return docs.withColumn("symbol", landing.series_symbol(name_pattern))
 
 
-STORED_NEWS = T.StructType([
-    T.StructField("headline", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("source", T.StringType()),
-    T.StructField("published_at", T.TimestampType()), T.StructField("article_key", T.BinaryType()), T.StructField("published_date", T.DateType()),
-])
+def _store_unseen(rows: DataFrame, path: str, schema: T.StructType, key: str, part: str, shape=None) -> None:
+    """Append the rows whose key is not stored yet. Only the partitions of the rows themselves are read."""
+    parts = [r[0] for r in rows.select(part).distinct().collect()]  # at most the days (or months) of the calendar
+    stored = rows.sparkSession.read.schema(schema).parquet(path)
+    here = F.col(part).isin([p for p in parts if p is not None])
+    held = stored.where(here | F.col(part).isNull() if None in parts else here).select(F.col(part), F.col(key))
+    same = rows[part].eqNullSafe(held[part]) & (rows[key] == held[key])
+    fresh = rows.join(held, same, "left_anti")
+    unseen = staged((shape(fresh) if shape else fresh).select(*schema.names), "unseen")
+    balanced(unseen, part).write.mode("append").partitionBy(part).parquet(path)
+    discard(unseen)
 
 
-def stream_news(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Feed items as they land, with a key and their date; `run_news` stores each article once."""
-    feed = (
-        spark.readStream.schema(S.NEWS_ITEM).option("maxFilesPerTrigger", files_per_batch).json(folder)
-    )
-    items = feed.select(
-        F.coalesce("title", F.lit("")).alias("headline"),
-        F.coalesce("summary", F.lit("")).alias("summary"),
-        F.coalesce("source", F.lit("")).alias("source"),
-        V.to_published(F.col("time_published")).alias("published_at"),
-        "time_published",
+def _run(stream: DataFrame, store, checkpoint: str) -> StreamingQuery:
+    query = (
+        stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
-    return items.withColumns({"article_key": row_digest(*NEWS_KEY), "published_date": F.to_date("published_at")})
+    query.awaitTermination()
+    return query
 
 
-def run_news(stream: DataFrame, path: str, rejected: str, checkpoint: str) -> StreamingQuery:
-    """Process everything that is there, then stop. Each article is stored once, however late it comes.
+def run_bars(docs: DataFrame, path: str, rejected: str, checkpoint: str, start: str = "2023-05-01") -> StreamingQuery:
+    """Process the documents that are there, then stop: the bars of the batch job, each stored once however often it lands.
 
-    A batch is compared with the stored keys of its own dates, which are partitions. Items whose publication time does
-    not parse go to `rejected`. A batch that is run again adds nothing.
+    What is stored is itself the state: a batch is compared with the bars of its own months, which are partitions, so nothing
+    expires and a batch that is run again adds nothing. Every batch writes what it sets aside, with a reason, to its part of `rejected`.
     """
-    spark = stream.sparkSession
-    spark.createDataFrame([], STORED_NEWS).write.mode("append").partitionBy("published_date").parquet(path)
+    spark = docs.sparkSession
+    spark.createDataFrame([], STORED_BARS).write.mode("append").partitionBy("trade_month").parquet(path)
 
     def store(batch: DataFrame, number: int) -> None:
-        items = staged(batch, "news-batch")
-        unpublished = items.where(F.col("published_at").isNull())
-        unpublished.select("headline", "summary", "source", "time_published").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
-        fresh = items.where(F.col("published_at").isNotNull()).drop("time_published").dropDuplicates(["published_date", "article_key"])
-        dates = [r[0] for r in fresh.select("published_date").distinct().collect()]  # at most the days of the calendar
-        stored = batch.sparkSession.read.schema(STORED_NEWS).parquet(path)
-        known = stored.where(F.col("published_date").isin(dates)).select("published_date", "article_key")
-        unseen = staged(fresh.join(known, ["published_date", "article_key"], "left_anti").select(*STORED_NEWS.names), "news-unseen")
-        balanced(unseen, "published_date").write.mode("append").partitionBy("published_date").parquet(path)
+        landed = staged(batch, "bars-batch")
+        jobs.rejected_bars(landed, start).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        bars = conform(jobs.bars_from_documents(landed, start), S.TRADES)
+        keyed = staged(bars.withColumns({
+            "bar_key": row_digest(*S.TRADES.names), "trade_month": F.trunc("trade_date", "month"),
+        }), "batch-bars")
+        _store_unseen(keyed, path, STORED_BARS, "bar_key", "trade_month")
+        discard(landed, keyed)
 
-    query = (
-        stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    return _run(docs, store, checkpoint)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process everything that is there into parquet files, then stop. Progress is kept in `checkpoint`."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
-    return query
+def stream_news(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Lines of feed files as they land (an item or an array of items each); `run_news` stores each article once."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).select("value", "_metadata")
+
+
+def run_news(stream: DataFrame, path: str, rejected: str, checkpoint: str, scorer: news.Scorer | None = None) -> StreamingQuery:
+    """Process everything that is there, then stop. Each article is stored once, scored, however late it comes.
+
+    Of the same article in one batch the first in file order stays. A batch is compared with the stored keys of its own dates,
+    which are partitions; only articles that are new are scored. Lines that are not JSON and items whose publication time does
+    not parse go to `rejected`. A batch that is run again adds nothing. `scorer` is the standard lexicon if none is given.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], STORED_NEWS).write.mode("append").partitionBy("published_date").parquet(path)
+    chosen = news.lexicon_frame(spark) if scorer is None else scorer
+
+    def scored(articles: DataFrame) -> DataFrame:
+        return news.label_sentiment(news.score_sentiment(articles, chosen))
+
+    def store(batch: DataFrame, number: int) -> None:
+        lines = staged(batch.select("value", *landing.feed_place()), "news-batch")
+        items = staged(news.project_variant_news(landing.variant_items(lines, []), extra=["feed_order"]), "news-items")
+        published, unpublished = news.split_unpublished(items)
+        unreadable = lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+        left_out = unpublished.select("headline", "summary", "source", F.col("published_at").alias("time_published")).unionByName(
+            unreadable.select(F.col("value").alias("line")), allowMissingColumns=True)
+        left_out.to(T._parse_datatype_string(REJECTED_NEWS)).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        keyed = published.withColumns({"article_key": row_digest(*NEWS_KEY), "published_date": F.to_date("published_at")})
+        first = staged(keep_first(keyed, ["published_date", "article_key"], [F.asc("feed_order")]), "news-first")
+        _store_unseen(first, path, STORED_NEWS, "article_key", "published_date", scored)
+        discard(lines, items, first)
+
+    return _run(stream, store, checkpoint)

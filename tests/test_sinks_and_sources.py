@@ -173,13 +173,65 @@ def test_an_append_reads_only_its_own_dates(spark, db):
 
 
 def test_streams_take_only_new_files(spark, tmp_path):
-    landed, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
-    doc = {"symbol": "A", S.META_KEY: {"a": "b"}, S.SERIES_KEY: {"2024-01-02": day(1)}}
-    late = {**doc, S.SERIES_KEY: {"2024-01-03": day(2), "2024-01-04": {**day(2), "1. open": "abc"}}}
-    for i, d in enumerate((doc, late)):
-        spark.createDataFrame([(json.dumps(d),)], "value string").write.mode("append").text(landed)
-        ingest.run_available(ingest.stream_bars(spark, landed), out, progress)
-        assert spark.read.parquet(out).count() == i + 1
+    landed, out, bad, progress = (str(tmp_path / n) for n in ("in", "out", "bad", "progress"))
+    doc = {S.META_KEY: {S.META_SYMBOL: "A"}, S.SERIES_KEY: {"2024-01-02": day(1), "2020-01-02": day(1)}}
+    late = {**doc, S.SERIES_KEY: {"2024-01-02": day(1), "2024-02-03": day(2), "x2024": day(2), "2024-01-04": {**day(2), "1. open": "abc"}}}
+    gated = {"symbol": "B", S.SERIES_KEY: {"2024-01-02": day(1)}}
+    for batch, total in (([doc], 1), ([late, gated], 3), ([late], 3)):
+        spark.createDataFrame([(json.dumps(d),) for d in batch], "value string").write.mode("append").text(landed)
+        ingest.run_bars(ingest.stream_series(spark, landed), out, bad, progress)
+        assert spark.read.schema(ingest.STORED_BARS).parquet(out).count() == total
+    found = sorted((r["batch"], r["symbol"], r["date"], r["reason"]) for r in spark.read.parquet(bad).fillna("").collect())
+    assert found == [(1, "A", "2024-01-04", "number: open"), (1, "B", "", "document"), (2, "A", "2024-01-04", "number: open")]
+
+
+def test_symbol_of_a_series_document(spark, tmp_path):
+    docs = {"filtered_AA_data.json": {}, "filtered_BB_data.json": {S.META_KEY: {S.META_SYMBOL: "B2"}},
+            "filtered_CC_data.json": {S.META_KEY: {S.META_SYMBOL: "C2"}, "symbol": "C1"}, "plain.json": {}}
+    for name, doc in docs.items():
+        (tmp_path / name).write_text(json.dumps({**doc, S.SERIES_KEY: {"2024-01-02": day(1)}}, indent=1))
+    found = [landing.read_series(spark, str(tmp_path), name_pattern=p).collect() for p in (None, landing.SERIES_NAME)]
+    assert [sorted(r["symbol"] or "" for r in rows) for rows in found] == [["", "AA", "B2", "C1"], ["", "AA", "BB", "CC"]]
+
+
+def test_filings_are_named_by_their_file(spark, tmp_path):
+    recent = {"form": ["10-K"], "filingDate": ["2024-01-01"], "primaryDocument": ["a b"], "primaryDocDescription": ["d"]}
+    for name, doc in (("raw_AAPL_10k", {}), ("raw_ZZ_10k", {"cik": "7"}), ("other", {"company_name": "O", "cik": "8"})):
+        (tmp_path / f"{name}.json").write_text(json.dumps({**doc, "filings": {"recent": recent}}, indent=1))
+    rows, _ = jobs.filings_from_files(spark, str(tmp_path))
+    assert sorted((r["company_name"], r["cik"]) for r in rows.collect()) == [("AAPL", "0000320193"), ("O", "8"), ("ZZ", "7")]
+
+
+def test_first_article_by_order_of_files(spark, tmp_path):
+    item = {"title": "t", "summary": "good", "source": "s", "time_published": "20240101T000000"}
+    for part, score in (("b", 2.0), ("a", 1.0), ("c", None)):
+        (tmp_path / part).mkdir()
+        filler = [{**item, "title": f"{part}{i}", "overall_sentiment_score": None} for i in range(2)]
+        (tmp_path / part / "news_A_data.json").write_text(json.dumps([*filler, {**item, "overall_sentiment_score": score}]))
+    feed = landing.read_news_variant(spark, f"{tmp_path}/*", name_pattern=landing.NEWS_NAME)
+    half = F.pandas_udf(lambda texts: texts.str.len() / 8, "double")
+    rows = jobs.news_from_feed(feed, half).collect()
+    kept = {r["headline"]: r["original_sentiment_score"] for r in rows}
+    assert kept == {"t": 1.0, **{f"{p}{i}": None for p in "abc" for i in range(2)}}
+    assert {(r["custom_sentiment_score"], r["custom_sentiment_label"]) for r in rows} == {(0.5, "Positive")}
+
+
+def test_a_scorer_without_a_number_counts_as_neutral(spark):
+    scores = N.score_sentiment(spark.createDataFrame([("x",), (None,), ("yy",)], "summary string"),
+                               lambda t: F.when(t == "x", F.lit(float("nan"))).when(t == "yy", F.lit(-7.0)))
+    assert sorted(r["custom_sentiment_score"] for r in scores.collect()) == [-1.0, 0.0, 0.0]
+
+
+def test_stream_keeps_the_first_of_a_batch_and_its_nulls(spark, tmp_path):
+    landed, out, bad, progress = (str(tmp_path / n) for n in ("in", "out", "bad", "progress"))
+    item = {"title": "t", "summary": "very good", "source": "s", "time_published": "20240101T000000"}
+    array = json.dumps([{**item, "overall_sentiment_score": None}, {**item, "overall_sentiment_score": 3.0}, {**item, "title": "u"}])
+    spark.createDataFrame([(array,), ("{broken",), (json.dumps({**item, "title": "v", "overall_sentiment_label": "L"}),)], "value string").coalesce(1).write.text(landed)
+    ingest.run_news(ingest.stream_news(spark, landed), out, bad, progress)
+    found = spark.read.schema(ingest.STORED_NEWS).parquet(out).orderBy("headline").collect()
+    assert [(r["headline"], r["original_sentiment_score"], r["original_sentiment_label"], r["custom_sentiment_label"]) for r in found] == [
+        ("t", None, "Unknown", "Positive"), ("u", 0.0, "Unknown", "Positive"), ("v", 0.0, "L", "Positive")]
+    assert [r["line"] for r in spark.read.parquet(bad).collect()] == ["{broken"]
 
 
 def test_stream_news_keeps_one_of_each(spark, tmp_path):
