@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.vectors import pad_vector
 from marketlens.operators.ranked import top_k
+from marketlens.operators.vector_blocks import HITS, best, merge, topk_blocks, unit_rows
 
 # The scoring functions are sent with the tasks, so that workers need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,7 +31,6 @@ EMPTY_PAGE = "[Unable to extract text from this page]"
 # Vectors of one broadcast, and of one block of the shuffled form.
 BROADCAST_QUERIES = 4096
 BLOCK_VECTORS = 8192
-SCORED_ROWS = 1024
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:
@@ -129,76 +129,23 @@ def vector_upsert(stored: DataFrame, incoming: DataFrame, key: str = "chunk_id",
     return top_k(kept.unionByName(incoming), [key], order, 1)
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norms == 0, 1.0, norms)
-
-
-def _best(query_ids: np.ndarray, queries: np.ndarray, found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of some vectors for each query, ties by id."""
-    matrix, ids = _unit_rows(found["embedding"]), found["vec_id"].to_numpy()
-    parts = []
-    for at in range(0, len(ids), SCORED_ROWS):
-        scores = np.round(queries @ matrix[at:at + SCORED_ROWS].T, 6)
-        if scores.shape[1] > k:
-            # Everything that ties with the k-th score stays in until the ids decide.
-            least = np.partition(scores, -k, axis=1)[:, [-k]]
-            asked, hit = np.nonzero(scores >= least)
-        else:
-            asked, hit = np.nonzero(np.ones(scores.shape, dtype=bool))
-        parts.append(pd.DataFrame({
-            "query_id": query_ids[asked], "vec_id": ids[at + hit], "score": scores[asked, hit],
-        }))
-    return _merge(parts, k)
-
-
-def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    both = pd.concat(parts).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-    return both.groupby("query_id").head(k)
-
-
-_HITS = "query_id long, vec_id long, score double"
-
-
 def _topk_broadcast(queries: pd.DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (queries["query_id"].to_numpy(), _unit_rows(queries["embedding"]))
+        (queries["query_id"].to_numpy(), unit_rows(queries["embedding"]))
     )
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
-        best = None
+        kept = None
         for batch in batches:
             if len(batch):
-                hits = _best(ids, matrix, batch, k)
-                best = hits if best is None else _merge([best, hits], k)
-        if best is not None:
-            yield best
+                hits = best(ids, matrix, batch, k)
+                kept = hits if kept is None else merge([kept, hits], k)
+        if kept is not None:
+            yield kept
 
     # Each task sends on at most k rows per query, whatever it reads.
-    return corpus.select("vec_id", "embedding").mapInPandas(scan, _HITS)
-
-
-def _topk_blocks(queries: DataFrame, corpus: DataFrame, k: int, query_count: int, block: int) -> DataFrame:
-    """Block-wise product: every query block meets every corpus block in a task of bounded size."""
-    query_blocks = -(-query_count // block)
-    corpus_blocks = max(1, -(-corpus.count() // block))
-
-    def spread(df: DataFrame, key: str, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_blocks))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_blocks - 1).cast("long")))
-        )
-
-    left = spread(queries.select("query_id", "embedding"), "query_id", "qb", query_blocks, "cb", corpus_blocks)
-    right = spread(corpus.select("vec_id", "embedding"), "vec_id", "cb", corpus_blocks, "qb", query_blocks)
-
-    def score(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or found.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(asked["query_id"].to_numpy(), _unit_rows(asked["embedding"]), found, k)
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(score, _HITS)
+    return corpus.select("vec_id", "embedding").mapInPandas(scan, HITS)
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
@@ -207,17 +154,17 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
 
     `queries(query_id, embedding)`, `corpus(vec_id, embedding)`; ids are unique. Up to `broadcast_limit`
     queries are sent to the tasks that scan the corpus, which is then not shuffled. More
-    queries are matched block by block. Both ways score with matrix products and only emit
-    the best k per query and task.
+    queries are matched block by block, and a query skips the blocks that cannot hold one of its k nearest
+    (`vector_blocks`). Both ways score with matrix products and only emit the best k per query and task.
     """
     asked = queries.select("query_id", "embedding")
     some = asked.limit(broadcast_limit + 1).toArrow()
     if some.num_rows <= broadcast_limit:
         if not some.num_rows:
-            return corpus.sparkSession.createDataFrame([], _HITS + ", rank int")
+            return corpus.sparkSession.createDataFrame([], HITS + ", rank int")
         hits = _topk_broadcast(some.to_pandas(), corpus, k)
     else:
-        hits = _topk_blocks(asked, corpus, k, asked.count(), block)
+        hits = topk_blocks(asked, corpus, k, block)
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("vec_id")], k, rank="rank")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.vectors import pad_vector, slide
 from marketlens.operators import retrieval as R
+from marketlens.operators import vector_blocks
 from marketlens.plans import jobs
 
 
@@ -55,6 +56,30 @@ def test_topk_matches_brute_force(spark, limit, block):
     assert {(h["query_id"], h["vec_id"], h["rank"]) for h in hits} == wanted
 
 
+@pytest.mark.parametrize("spread, block", [(0.05, 64), (0.05, 8), (3.0, 64)])
+def test_queries_skip_blocks_out_of_reach(spark, spread, block):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(20, 16))
+    sizes = [200, *[20] * 18, 1]  # one cluster of several blocks, and one below k
+    data = np.concatenate([m + spread * rng.normal(size=(n, 16)) / 4 for m, n in zip(middles, sizes)])
+    data[5:9] = data[4]  # copies, which tie
+    data[30] = 0
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(3)
+    queries = corpus.where("vec_id % 3 = 0 or vec_id in (30, 560)").withColumnRenamed("vec_id", "query_id")
+    hits = R.vector_topk(queries, corpus, 5, broadcast_limit=1, block=block).collect()
+    norms = np.linalg.norm(data, axis=1, keepdims=True)
+    unit = data / np.where(norms == 0, 1, norms)
+    scores, n = np.round(unit @ unit.T, 6), len(data)
+    asked = [r["query_id"] for r in queries.collect()]
+    wanted = {(q, int(v), r + 1) for q in asked for r, v in enumerate(np.lexsort((np.arange(n), -scores[q]))[:5])}
+    assert {(h["query_id"], h["vec_id"], h["rank"]) for h in hits} == wanted
+    plan = vector_blocks.plan_rounds(queries, corpus, 5, block)
+    met, blocks = plan.home.count() + plan.rest.count(), plan.blocks.select("block").distinct().count()
+    assert plan.blocks.groupBy("block").count().agg(F.max("count")).first()[0] <= 2 * block
+    if spread < 1:
+        assert met < len(asked) * blocks / 2
+
+
 def test_topk_of_little(spark):
     _, corpus = vectors(spark, 3)
     queries = corpus.withColumnRenamed("vec_id", "query_id")
