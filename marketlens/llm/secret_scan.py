@@ -6,9 +6,10 @@ incremental counts, and compares it with a threshold for the string's character
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ ALLOWED = ("abcdefghijklmnop", "ABCDEFGHIJKLMNOP", "0123456789", "EXAMPLE", "exa
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 Span = tuple[int, int, int]
+Run = tuple[int, int]  # first, one after the last
 
 
 def base_spans(text: str) -> list[Span]:
@@ -80,35 +82,64 @@ def window_entropies(text: str, width: int = WINDOW) -> Iterator[float]:
 
 def entropy_spans(text: str, allowed=ALLOWED) -> list[Span]:
     """Runs of windows that reach the threshold of their class, in a candidate or in its parts between separators.
-    Windows that hold an allowed string are left out."""
+    Windows that hold a part of an allowed string are left out. Work and memory grow with the candidate, whatever it holds."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
         if "://" in text[max(0, m.start() - 8) : m.start()]:
             continue
-        found: set[int] = set()
-        for at, part in [(0, s), *((x.start(), x[0]) for x in INNER.finditer(s) if len(x[0]) < len(s))]:
-            least = next(x[2] for x in CLASSES if x[1].fullmatch(part))
-            found.update(at + i for i, h in enumerate(window_entropies(part)) if h >= least)
-        banned = [(i, i + len(a)) for a in allowed for i in _places(s, a)] if found else []
-        begin = end = -1
-        for i in sorted(found):
-            if any(a < i + WINDOW and i < b for a, b in banned):
-                continue
-            if i > end:
-                if end >= 0:
-                    out.append((m.start() + begin, 3, m.start() + end))
-                begin = i
-            end = i + WINDOW
-        if end >= 0:
-            out.append((m.start() + begin, 3, m.start() + end))
+        parts = [(0, s), *((x.start(), x[0]) for x in INNER.finditer(s) if len(x[0]) < len(s))]
+        hot = list(_united(sorted(run for at, part in parts for run in _hot_windows(at, part))))
+        if not hot:
+            continue
+        touched = _united(heapq.merge(*(_touching(s, a) for a in allowed)))
+        spans = _united((a, b - 1 + WINDOW) for a, b in _without(hot, touched))
+        out += [(m.start() + a, 3, m.start() + b) for a, b in spans]
     return out
 
 
-def _places(text: str, part: str) -> Iterator[int]:
+def _hot_windows(at: int, part: str) -> Iterator[Run]:
+    """Runs of starts of the windows that reach the threshold; `at` is where the part begins."""
+    least = next(x[2] for x in CLASSES if x[1].fullmatch(part))
+    return _united((at + i, at + i + 1) for i, h in enumerate(window_entropies(part)) if h >= least)
+
+
+def _united(runs: Iterable[Run]) -> Iterator[Run]:
+    """Runs, which come by their first number, with those that overlap or touch made one."""
+    begin = end = None
+    for a, b in runs:
+        if end is not None and a <= end:
+            end = max(end, b)
+            continue
+        if end is not None:
+            yield begin, end
+        begin, end = a, b
+    if end is not None:
+        yield begin, end
+
+
+def _without(runs: list[Run], holes: Iterator[Run]) -> Iterator[Run]:
+    """What the holes leave of some runs. Both come in order and each is passed once."""
+    hole = next(holes, None)
+    for a, b in runs:
+        while hole is not None and hole[1] <= a:
+            hole = next(holes, None)
+        while hole is not None and hole[0] < b:
+            if a < hole[0]:
+                yield a, hole[0]
+            a = max(a, hole[1])
+            if hole[1] >= b:
+                break
+            hole = next(holes, None)
+        if a < b:
+            yield a, b
+
+
+def _touching(text: str, part: str) -> Iterator[Run]:
+    """Runs of starts of the windows that hold some of an occurrence of `part`."""
     i = text.find(part)
     while i >= 0:
-        yield i
+        yield i - WINDOW + 1, i + len(part)
         i = text.find(part, i + 1)
 
 
@@ -124,7 +155,7 @@ _CANDIDATE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_
 def _runs(inside: np.ndarray, width: int) -> np.ndarray:
     """Starts of the windows of `width` bytes that lie inside throughout, by doubling."""
     have = 1
-    while have < width and len(inside) > have:
+    while have < width and len(inside) > min(have, width - have):
         step = min(have, width - have)
         inside = inside[:-step] & inside[step:]
         have += step

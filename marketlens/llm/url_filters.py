@@ -111,13 +111,13 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", default: str = "allow
 
     Among rules of equal length the first in the list wins. A null url, or one without ://, has an
     empty host and path, no rule and the default verdict. Rows that repeat are judged alike; columns of
-    the input that are named like a result are replaced. An empty table gives an empty result.
+    the input that are named like a result, in capitals or not, are replaced. An empty table gives an empty result.
     """
     rules = tuple(rules)
     globs = [g for _, host, path in rules for g in rule_globs(host, path)]
     ranked = sorted(range(len(rules)), key=lambda i: -len(rules[i][1] + rules[i][2]))
     made = ("host", "path", "rule", "verdict")
-    kept = [c for c in pages.columns if c not in made]
+    kept = [c for c in pages.columns if c.lower() not in made]
     parts = pages.select(*[F.col(f"`{c}`") for c in kept], url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     full = parts.withColumns({"rule": F.lit("").cast("string"), "verdict": F.lit(default)})
     schema = full.schema

@@ -1,5 +1,8 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
+import re
+
 
 def shingles(text, width=3):
     words = (text or "").encode().lower().split()
@@ -50,3 +53,38 @@ def kept_bytes(rows, length=100):
         runs = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         out[i] = (len(raw), sum(gone), runs, bytes(b for b, g in zip(raw, gone) if not g))
     return out
+
+
+BASE_PATTERNS = (
+    ("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+    ("access", r"()(AKIA[A-Z0-9]+)", 18),
+    ("hex", r"()([0-9a-f]+)", 16),
+)
+
+
+def base_secrets(text):
+    """(start, kind, end) of the three fixed kinds, as the contract words them."""
+    found = [(m.start(), k, m.end()) for k, (_, p, least) in enumerate(BASE_PATTERNS) for m in re.finditer(p, text) if len(m[2]) >= least]
+    return sorted(found)
+
+
+def entropy_runs(text, candidate, inner, classes, allowed, width):
+    """Spans of high entropy by looking at every window and every allowed string."""
+    out = []
+    for m in candidate.finditer(text):
+        s = m[0]
+        if "://" in text[max(0, m.start() - 8) : m.start()]:
+            continue
+        covered = set()
+        for at, part in [(0, s), *((x.start(), x[0]) for x in inner.finditer(s))]:
+            least = next(c[2] for c in classes if c[1].fullmatch(part))
+            for i in range(len(part) - width + 1):
+                w = part[i : i + width]
+                bits = -sum(w.count(c) / width * math.log2(w.count(c) / width) for c in set(w))
+                places = [(p, p + len(a)) for a in allowed for p in range(len(s)) if s.startswith(a, p)]
+                if bits >= least - 1e-9 and not any(a < at + i + width and at + i < b for a, b in places):
+                    covered |= set(range(m.start() + at + i, m.start() + at + i + width))
+        runs = sorted(covered)
+        starts = [i for i in runs if i - 1 not in covered]
+        out += [(a, 3, next(i for i in range(a, len(text) + 1) if i not in covered)) for a in starts]
+    return out

@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
+import brute
+
 from marketlens.llm import language_id, mixing, secret_scan, toxicity, url_filters
 from marketlens.llm.texts import fold, held_out
 
@@ -103,6 +106,42 @@ def test_entropy():
     assert secret_scan.entropy_spans("a" * 40 + " internationalisationalisation 12345678901234567890123 abcdefghijklmnopqrstuvwxyzABC0123456789") == []
 
 
+def test_secrets_against_plain_search():
+    rng = random.Random(12)
+    pieces = ["password", "PassWd", "Secret", "ToKeN", "api_key", "APIkey", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIA1234567890ABCD", "0123abcd", "deadbeefcafe", "hunter2", "x/y+z", ".", "-", "_", "ſ", "é", "\n", "kJ8sQ2xVb7", "EXAMPLE", "00000000", "://"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(30)))
+        assert secret_scan.base_spans(text) == brute.base_secrets(text), text
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for n in range(150):
+        some = [rng.choice(secret_scan.ALLOWED) if rng.random() < 0.06 else rng.choice("=_/-") if rng.random() < 0.05 else rng.choice(mixed[: rng.choice((26, 62))]) for _ in range(rng.randrange(150))]
+        text = "key " + "".join(some) + " end"
+        plain = brute.entropy_runs(text, secret_scan.CANDIDATE, secret_scan.INNER, secret_scan.CLASSES, secret_scan.ALLOWED, secret_scan.WINDOW)
+        assert secret_scan.entropy_spans(text) == plain, text
+
+
+def test_a_long_candidate_full_of_allowed_strings():
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    piece = ["EXAMPLE" + "".join(rng.choice(letters) for _ in range(33)) for _ in range(1000)]
+    started = time.monotonic()
+    spans = secret_scan.entropy_spans("".join(piece * 10))
+    assert time.monotonic() - started < 20  # 400 kB; by pairs of window and allowed string it takes minutes
+    assert len(spans) > 5000 and all(b - a <= 33 for a, _, b in spans)
+
+
+def test_no_short_text_is_passed_over():
+    for text in ("f" * 16, "kJ8sQ2xVb7LmZ4tRwY9p", "a kJ8sQ2xVb7LmZ4tRwY9pNc3H", "token=abcdefghijkl"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert secret_scan.spans_of(text) and list(secret_scan.suspects(raw, np.array([0, len(raw)]))) == [0]
+
+
+def test_repeated_rows_are_scanned_alike(docs_of):
+    docs = docs_of([(1, "key kJ8sQ2xVb7LmZ4tRwY9pNc3H"), (1, "key kJ8sQ2xVb7LmZ4tRwY9pNc3H"), (1, "other")])
+    found = sorted(len(r["secret_spans"]) for r in secret_scan.find_secrets(docs).collect())
+    assert found == [0, 1, 1]
+
+
 @pytest.mark.parametrize(("alphabet", "n", "share"), [
     ("0123456789", 20, 0.9), ("0123456789", 32, 0.95), ("abcdefghijklmnopqrstuvwxyz234567", 20, 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.95),
     ("abcdefghijklmnopqrstuvwxyz0123456789", 32, 0.95), ("abcdefghijklmnopqrstuvwxyz", 32, 0.8),
@@ -157,6 +196,8 @@ def test_judged_urls(spark):
         wanted[i] = (host, rule, verdict)
     assert got == wanted
     assert url_filters.judge(rows.limit(0)).collect() == []
+    clashing = spark.createDataFrame([(1, urls[0], "h", "p"), (1, urls[0], "h", "p")], "page_id long, url string, HOST string, Verdict string")
+    assert [(r["host"], r["verdict"]) for r in url_filters.judge(clashing).collect()] == [("example.net", "allow")] * 2
 
 
 def test_globs():
