@@ -131,6 +131,11 @@ def append_then_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(S.TRADES).parquet(path).distinct()
 
 
+@query("preview_rows", BARS + f"SELECT {BAR_TEXT} FROM trades ORDER BY symbol, trade_date LIMIT 5")
+def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.preview(series.sort_bars(views.trades(spark, sf_dir)))
+
+
 @query("quarantine_rows", NOISY + """
 SELECT symbol, CASE WHEN noise = 3 THEN 'x' || CAST(trade_date AS VARCHAR) ELSE CAST(trade_date AS VARCHAR) END AS date,
   CASE WHEN noise = 0 THEN 'abc' WHEN noise = 3 THEN 'date' WHEN noise = 5 THEN 'volume' ELSE 'open' END AS reason

@@ -221,6 +221,26 @@ def pad_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("slide_sequence", """
+SELECT vec_id, len(embedding) AS width, embedding[2] AS first_value, embedding[len(embedding)] AS before_last, 0.5::FLOAT AS last_value
+FROM embeddings""")
+def slide_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slid = views.vectors(spark, sf_dir).withColumn("embedding", W.slide(F.col("embedding"), F.lit(0.5).cast("float")))
+    return slid.select(
+        "vec_id", F.size("embedding").alias("width"), F.element_at("embedding", 1).alias("first_value"),
+        F.element_at("embedding", -2).alias("before_last"), F.element_at("embedding", -1).alias("last_value"),
+    )
+
+
+@query("run_query", """
+SELECT source, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS letters FROM documents
+WHERE lang = 'en' GROUP BY source HAVING count(*) >= 2""")
+def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landing.run_query(spark, """
+        SELECT source, count(*) AS texts, sum(length(text)) AS letters FROM parquet.`%s/documents.parquet`
+        WHERE lang = :lang GROUP BY source HAVING count(*) >= :least""" % sf_dir, {"lang": "en", "least": 2})
+
+
 NEAREST = Q.with_views(Q.NEAREST)
 
 

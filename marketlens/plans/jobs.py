@@ -153,10 +153,12 @@ def rejected_news(feed: DataFrame) -> DataFrame:
 
 
 def load_news(feed: DataFrame, scorer: news.Scorer, table: str) -> DataFrame:
-    """Append to the news table and keep its rows distinct; returns the articles that were set aside."""
+    """Append the rows that the news table does not hold; returns the articles that were set aside.
+
+    The feed's rows are distinct, so the table stays so without being rewritten; only the range of their times is read.
+    """
     rejected = staged(rejected_news(feed), "rejected-news")
-    sinks.append_table(news_from_feed(feed, scorer), table)
-    sinks.dedup_table(feed.sparkSession, table)
+    sinks.append_new_rows(news_from_feed(feed, scorer), table, S.NEWS_SENTIMENT.names, within="published_at")
     return rejected
 
 

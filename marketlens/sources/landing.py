@@ -151,11 +151,25 @@ def read_latest_csv(spark: SparkSession, folder: str, pattern: str, schema: T.St
     return read_csv(spark, latest_snapshot_path(spark, folder, pattern), schema)
 
 
+def latest_run_name(spark: SparkSession, path: str) -> str:
+    """Greatest run_ts among the partitions of a snapshot table that hold a file. Files are only listed, none is opened."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        .select(F.nullif(F.regexp_extract("path", r"/run_ts=([^/]+)/", 1), F.lit("")).alias("run"))
+    )
+    newest = listed.agg(F.max("run")).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no run below {path}")
+    return newest
+
+
 def read_latest_run(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Newest run of a snapshot table partitioned by run_ts and split; other runs are pruned."""
-    runs = spark.read.parquet(path)
-    newest = runs.select("run_ts").agg(F.max("run_ts").alias("m")).scalar()
-    chosen = runs.where(F.col("run_ts") == newest)
+    """Newest run of a snapshot table partitioned by run_ts (14 digits) and split; other runs are not opened."""
+    newest = latest_run_name(spark, path)
+    # The schema is that of the newest run, so that no footer of another run is read either.
+    schema = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/run_ts={newest}").schema
+    runs = spark.read.schema(schema).parquet(path)
+    chosen = runs.where(F.col("run_ts") == F.lit(newest).cast(schema["run_ts"].dataType))
     return chosen.where(F.col("split") == split) if split else chosen
 
 

@@ -147,6 +147,38 @@ def test_news_table_stays_distinct(spark, db):
     assert spark.table(f"{db}.news_sentiment").count() == 1
 
 
+def test_loading_news_leaves_stored_files_alone(spark, db):
+    schema = ("feed_symbol string, feed_pos int, title string, summary string, overall_sentiment_score double, "
+              "overall_sentiment_label string, source string, time_published string")
+    rows = [("A", i, f"kept{i}", "good" if i else None, None, None, "s", f"2023010{i + 1}T000000") for i in range(3)]
+    table, stored = spark.table(f"{db}.news_sentiment"), set()
+    for n in (2, 3, 3):
+        jobs.load_news(spark.createDataFrame(rows[:n], schema), N.lexicon_frame(spark), f"{db}.news_sentiment")
+        spark.catalog.refreshTable(f"{db}.news_sentiment")
+        files = set(spark.table(f"{db}.news_sentiment").inputFiles())
+        assert stored <= files
+        stored = files
+        assert spark.table(f"{db}.news_sentiment").where("headline like 'kept%'").count() == n
+    assert table.columns == S.NEWS_SENTIMENT.names
+
+
+def test_older_runs_are_not_opened(spark, tmp_path):
+    import pathlib
+
+    path = str(tmp_path / "runs")
+    for run in ("20240101000000", "20240301120000"):
+        sinks.write_snapshot(spark.createDataFrame([("a", run, "train"), ("b", run, "test")], "k string, v string, split string"), path, run)
+    for file in pathlib.Path(path).glob("run_ts=20240101000000/*/*.parquet"):
+        file.write_bytes(b"not parquet at all")
+    assert sorted((r["k"], r["v"], r["run_ts"]) for r in landing.read_latest_run(spark, path).collect()) == [
+        ("a", "20240301120000", 20240301120000), ("b", "20240301120000", 20240301120000)]
+    assert [r["k"] for r in landing.read_latest_run(spark, path, "train").collect()] == ["a"]
+    plain = str(tmp_path / "plain")
+    spark.range(2).write.parquet(plain)
+    with pytest.raises(FileNotFoundError):
+        landing.latest_run_name(spark, plain)
+
+
 def test_queries(spark, db):
     assert landing.run_query(spark, f"SELECT * FROM {db}.trades WHERE symbol = :s", {"s": "none"}) is None
     bars = make_bars(spark, {"a": 3})
