@@ -132,7 +132,7 @@ def answer_history(routed: DataFrame, bars: DataFrame) -> DataFrame:
     join that, so neither a hot symbol's bars nor its questions multiply.
     """
     fields = list(FIELD_PHRASES.values())
-    asked = routed.where(F.col("route") == "history").select("qid", "symbol", "field", "days")
+    asked = staged(routed.where(F.col("route") == "history").select("qid", "symbol", "field", "days"), "history-questions")
     most = _most_days(asked)
     dates = bars.select(F.col("symbol").alias("_symbol"), F.col("trade_date").alias("_date")).distinct()
     days = top_k(dates, ["_symbol"], [F.desc_nulls_last("_date")], most)
