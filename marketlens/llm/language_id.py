@@ -25,8 +25,10 @@ SAMPLE_PER_LANGUAGE = 1000
 CENTROIDS_PER_LANGUAGE = 3
 #: One centroid takes 16 kB, so a model is never above 50 MB.
 MOST_LANGUAGES = 1000
-#: A text is rejected below this share of the least cosine that any sampled row of the centroid has.
-REJECT_SHARE = 0.5
+#: A text is rejected below REJECT_SHARE of the cosine that all but LOW_QUANTILE of the sampled rows of its centroid have.
+REJECT_SHARE, LOW_QUANTILE = 0.3, 0.01
+#: Runs of the clustering, the least share of a language's rows that a centroid has, and shares of a hot language.
+STARTS, LEAST_SHARE, SHARES = 4, 0.05, 64
 UNKNOWN = "und"
 _TEXTS, _BYTES = 256, 1 << 20
 
@@ -73,21 +75,45 @@ def normalised(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, the centroid of each row), by cosine. Starts from rows that are far apart, so runs agree."""
-    chosen = [0]
-    nearest = x @ x[0]
+def _spread_rows(x: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
+    """k rows drawn one after the other, each with a chance that grows with its distance from those drawn before."""
+    chosen = [int(draw.integers(len(x)))]
     while len(chosen) < min(k, len(x)):
-        chosen.append(int(np.argmin(nearest)))
-        nearest = np.maximum(nearest, x @ x[chosen[-1]])
-    centres = x[chosen]
-    for _ in range(rounds):
-        own = np.argmax(x @ centres.T, axis=1)
-        for j in range(len(centres)):
-            if (own == j).any():
+        away = np.clip(1 - (x @ x[chosen].T).max(axis=1), 0, None).astype(np.float64)
+        if away.sum() < 1e-9:
+            break
+        chosen.append(int(draw.choice(len(x), p=away / away.sum())))
+    return x[chosen]
+
+
+def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, the centroid of each row), by cosine: the best of STARTS runs from weighted random rows, with a fixed seed.
+
+    A centroid with less than LEAST_SHARE of the rows is dropped and its rows go to the others.
+    """
+    best, draw = None, np.random.default_rng(len(x))
+    for _ in range(STARTS):
+        centres = _spread_rows(x, k, draw).copy()
+        for step in range(rounds):
+            own = np.argmax(x @ centres.T, axis=1)
+            held = np.bincount(own, minlength=len(centres))
+            if step and held.min() < LEAST_SHARE * len(x) and len(centres) > 1:
+                centres = np.delete(centres, held.argmin(), axis=0)
+                continue
+            for j in np.flatnonzero(held):
                 mean = x[own == j].mean(axis=0)
                 centres[j] = mean / max(float(np.linalg.norm(mean)), 1e-12)
-    return centres, np.argmax(x @ centres.T, axis=1)
+        near = x @ centres.T
+        found = (float(near.max(axis=1).mean()), centres, np.argmax(near, axis=1))
+        best = found if best is None or found[0] > best[0] else best
+    return best[1], best[2]
+
+
+def _first_of_language(rows: DataFrame, order: list, most: int) -> DataFrame:
+    """The first rows of each language in an order, with their `place`; a hot language is dealt to shares, ranked one by one, before."""
+    share = F.pmod(F.xxhash64(*order), F.lit(SHARES))
+    some = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).where(F.col("place") <= most)
+    return some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= most)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS_PER_LANGUAGE) -> Centroids:
@@ -107,8 +133,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS_P
     weights = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(i, 0) for i in range(DIMENSIONS)]))) + 1
 
     ids = rows.select("doc_id", "lang").distinct()
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = staged(ids.withColumn("place", order).where(F.col("place") <= sample).select("doc_id", "lang"), "language-sample")
+    chosen = staged(_first_of_language(ids, [F.xxhash64("doc_id"), F.col("doc_id")], sample).select("doc_id", "lang"), "language-sample")
     if (languages := chosen.select("lang").distinct().count()) > MOST_LANGUAGES:
         raise ValueError(f"{languages} languages; a model holds {MOST_LANGUAGES} at most")
     if not languages:
@@ -122,15 +147,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS_P
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(first, last - first), batch.column("place").slice(first, last - first), flat], names=["lang", "place", "x"])
 
     # Rows that repeat an id come along, so the bound is applied again; each task sends on `sample` rows at most.
-    again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
     rows = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    rows = rows.withColumn("place", again).where(F.col("place") <= sample).select("lang", "place", "text")
+    rows = _first_of_language(rows, [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")], sample).select("lang", "place", "text")
 
     def means(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(group.sort_values("place")["x"].to_numpy())
         centres, own = spherical_means(x, k)
         used = [j for j in range(len(centres)) if (own == j).any()]
-        least = [float((x[own == j] @ centres[j]).min()) * REJECT_SHARE for j in used]
+        least = [float(np.quantile(x[own == j] @ centres[j], LOW_QUANTILE)) * REJECT_SHARE for j in used]
         return pd.DataFrame({"lang": group["lang"].iloc[0], "part": used, "least": least, "x": [centres[j] for j in used]})
 
     found = rows.mapInArrow(vectors, "lang string, place int, x array<float>").groupBy("lang").applyInPandas(means, "lang string, part int, least double, x array<float>")

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 import brute
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from marketlens.llm import language_id, mixing, secret_scan, toxicity, url_filters
 from marketlens.llm.texts import fold, held_out
@@ -243,6 +245,25 @@ def test_held_out_rows_teach_nothing(docs_of):
     assert set(language_id.fit(docs_of(rows, "doc_id long, text string, lang string")).languages) == {"xa"}
 
 
+def test_odd_rows_do_not_take_a_centroid():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(np.eye(20)[:3], 200, axis=0), np.eye(20)[10:14]]) + 0.03 * rng.standard_normal((604, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres, own = language_id.spherical_means(x, 3)
+    assert sorted(np.argmax(centres[:, :3], axis=1)) == [0, 1, 2] and np.bincount(own).min() >= 190
+    same, _ = language_id.spherical_means(x, 3)
+    assert np.array_equal(centres, same)
+    one, own = language_id.spherical_means(np.repeat(x[:1], 9, axis=0), 3)
+    assert len(one) == 1 and set(own) == {0}
+
+
+def test_a_hot_language_is_ranked_as_a_whole(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "if(id % 50 = 0, 'yb', 'xa') as lang")
+    got = language_id._first_of_language(rows, [F.xxhash64("doc_id"), F.col("doc_id")], 70)
+    plain = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where("place <= 70")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_spherical_means():
     rng = np.random.default_rng(0)
     x = np.repeat(np.eye(3), 10, axis=0) + 0.05 * rng.standard_normal((30, 3))
