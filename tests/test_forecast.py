@@ -131,3 +131,24 @@ def test_boosted_trees_are_registered_with_full_settings(spark, sf_dir, monkeypa
     forecast_queries.forecast_gbt(spark, sf_dir)
     fitted = M.boosted_trees("close", **asked["gbt"])
     assert (fitted.getMaxIter(), fitted.getMaxDepth()) == (100, 6)
+
+
+def test_batches_of_sequences_have_the_states_of_single_ones(spark, monkeypatch):
+    from marketlens.operators import reservoir
+
+    monkeypatch.setattr(reservoir, "CHUNK", 4)
+    network, rng = Reservoir(units=5, seed=3), random.Random(2)
+    rows = [([(rng.random(), rng.random()) for _ in range(n)],) for n in (7, 0, 3, 7, 7, 12)]
+    rows += [([(None, 0.5), None, (0.25, None)],), (None,)]
+    df = spark.createDataFrame(rows, "sequence array<struct<close: double, volume: double>>").coalesce(1)
+    pairs = df.where("sequence IS NULL OR size(sequence) > 0").select(
+        network.encode(F.col("sequence")).alias("one"), network.encode_batches(F.col("sequence")).alias("many")).collect()
+    assert len(pairs) == 7 and all(r["many"] == (r["one"] and pytest.approx(r["one"])) for r in pairs)
+    assert df.where("size(sequence) = 0").select(network.encode_batches(F.col("sequence")).alias("s")).first()["s"] == [0.0] * 7
+
+
+def test_models_are_fitted_on_batches_of_windows(bars):
+    fitted = M.fit_sequences(X.sequence_windows(bars), "reservoir", units=4)
+    plan = fitted.encode(F.col("sequence"))
+    explained = X.sequence_windows(bars).select(plan)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in explained and "aggregate(" not in explained
