@@ -89,3 +89,24 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("  a\tb  c ", "320193", "20240131T0910")], "t string, c string, p string")
     row = df.select(V.split_words(F.col("t")), V.padded_id(F.col("c")), V.to_published(F.col("p"))).first()
     assert row[0] == ["a", "b", "c"] and row[1] == "0000320193" and row[2] is None
+
+
+def test_values_are_parsed_once_per_row(spark):
+    raw = spark.createDataFrame([("a", "2024-01-01", *["1.5"] * 4, "7")], "symbol string, date string, open string, high string, low string, close string, volume string")
+    good, bad = series.split_bad_numbers(raw)
+    whole, _ = series.split_fractional_volume(good)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # Five values, each to see whether it is a number and to read it.
+    assert plan(series.type_records(whole)).count("try_cast(trim(") == 5
+    typed, _ = series.split_fractional_volume(series.coerce_numeric(raw, ["volume"]))
+    assert plan(typed).count("try_cast(trim(") == 1
+    assert bad.columns == [*raw.columns, "bad_columns"] and good.columns == raw.columns
+
+
+def test_missing_and_bad_numbers_are_told_apart(spark):
+    kinds = {"NaN": False, " -Infinity": False, "INF ": False, "1e5": False, ".5": False, "nanx": True, "1_000": True, "": True, "1 nan": True}
+    rows = [("a", f"2024-01-{i:02d}", v, "1", "1", "1", "1") for i, v in enumerate(kinds, 1)]
+    raw = spark.createDataFrame(rows, "symbol string, date string, open string, high string, low string, close string, volume string")
+    good, bad = series.split_bad_numbers(raw)
+    assert sorted(r["open"] for r in bad.collect()) == sorted(v for v, wrong in kinds.items() if wrong)
+    assert {r["open"] for r in good.collect()} == {None, 1e5, 0.5}
