@@ -110,3 +110,19 @@ def test_missing_and_bad_numbers_are_told_apart(spark):
     good, bad = series.split_bad_numbers(raw)
     assert sorted(r["open"] for r in bad.collect()) == sorted(v for v, wrong in kinds.items() if wrong)
     assert {r["open"] for r in good.collect()} == {None, 1e5, 0.5}
+
+
+def test_rejects_of_good_numbers_take_one_pass(spark):
+    from marketlens.plans import jobs
+
+    docs = spark.createDataFrame(
+        [("a", {"2. Symbol": "a"}, {"2024-01-01": {"6. volume": "1.5"}, "2024-01-02": {"6. volume": "2"}}),
+         (None, {"2. Symbol": None}, {"2024-01-01": {"6. volume": "3.5"}, "2024-01-02": {"6. volume": "4"}, "2024-01-03": {"1. open": "x"}}),
+         ("b", None, None)],
+        f"symbol string, `{S.META_KEY}` map<string,string>, `{S.SERIES_KEY}` map<string,map<string,string>>")
+    rejected = jobs.rejected_bars(docs)
+    found = sorted((r["symbol"] or "", r["date"] or "", r["volume"] or "", r["reason"]) for r in rejected.collect())
+    assert found == [("", "2024-01-01", "3.5", "volume"), ("", "2024-01-02", "4.0", "symbol"), ("", "2024-01-03", "", "number: open"),
+                     ("a", "2024-01-01", "1.5", "volume"), ("b", "", "", "document")]
+    # Documents without their key, rows with bad numbers, rows with good ones.
+    assert rejected._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
