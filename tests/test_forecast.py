@@ -152,3 +152,48 @@ def test_models_are_fitted_on_batches_of_windows(bars):
     plan = fitted.encode(F.col("sequence"))
     explained = X.sequence_windows(bars).select(plan)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in explained and "aggregate(" not in explained
+
+
+def test_series_give_the_models_and_errors_of_their_tables_of_windows(spark, bars):
+    from marketlens.operators import series, sliding
+
+    first = series.dedup_bar_first(bars)
+    limits = M.bar_limits(first)
+    windows = X.chrono_split(X.sequence_windows(M.scaled_bars(first, limits))).persist()
+    train, test = (windows.where(F.col("split") == s) for s in ("train", "test"))
+    rows = sliding.bar_series(first).persist()
+    slid = [sliding.Windows(rows, train=t) for t in (True, False)]
+    assert rows.count() == first.select("symbol").distinct().count()  # nothing is repeated once per window
+    for kind in ("linear", "reservoir"):
+        table, here = M.fit_sequences(train, kind), M.fit_sequences(slid[0], kind)
+        scores = [{r["symbol"]: r for r in M.score_sequences(f, t, limits).collect()} for f, t in ((table, test), (here, slid[1]))]
+        assert scores[0].keys() == scores[1].keys() and scores[0]
+        for symbol, r in scores[0].items():
+            assert [scores[1][symbol][c] for c in ("mse_close", "mse_volume")] == pytest.approx([r["mse_close"], r["mse_volume"]], rel=1e-6)
+        days = [
+            {(r["symbol"], r["trade_date"]): (r["volume_prediction"], r["close_prediction"]) for r in M.forecast_sequences(f, last, limits, "2001-01-01").collect()}
+            for f, last in ((table, X.last_sequence(M.scaled_bars(first, limits))), (here, sliding.last_windows(rows)))
+        ]
+        assert days[0].keys() == days[1].keys() and all(days[1][k] == pytest.approx(v, rel=1e-6) for k, v in days[0].items())
+    means = [{r["symbol"]: r for r in f.collect()} for f in (M.error_of_means(train, test, limits), M.error_of_means(*slid, limits))]
+    assert means[0].keys() == means[1].keys()
+    assert all(means[1][s]["mean_mse_close"] == pytest.approx(r["mean_mse_close"], rel=1e-6) for s, r in means[0].items())
+
+
+def test_models_read_series_and_not_tables_of_windows(spark, bars, monkeypatch):
+    monkeypatch.setattr(X, "sequence_windows", lambda *a, **k: pytest.fail("a table of windows"))
+    assert jobs.score_trades(bars, {"seq_a": {}, "seq_b": {}}).count() == 6
+    assert jobs.forecast_trades(bars, "2001-01-01", {"seq_a": {}, "seq_b": {}})["seq_b"].count() == 15
+
+
+def test_missing_values_fail_a_training(spark):
+    from marketlens.operators import sliding
+
+    days = [datetime.date(2000, 1, 1) + datetime.timedelta(days=i) for i in range(80)]
+    holed = spark.createDataFrame([("a", d, None if i == 65 else float(i % 7), i) for i, d in enumerate(days)], "symbol string, trade_date date, close double, volume long")
+    with pytest.raises(Exception, match="missing"):
+        M.fit_sequences(sliding.Windows(sliding.bar_series(holed), train=True))
+    short = sliding.bar_series(holed.where("trade_date < '2000-02-10'"))
+    with pytest.raises(ValueError, match="no training windows"):
+        M.fit_sequences(sliding.Windows(short, train=True))
+    assert sliding.last_windows(short).isEmpty()
