@@ -43,9 +43,8 @@ def _store_unseen(rows: DataFrame, path: str, schema: T.StructType, key: str, pa
     held = stored.where(here | F.col(part).isNull() if None in parts else here).select(F.col(part), F.col(key))
     same = rows[part].eqNullSafe(held[part]) & (rows[key] == held[key])
     fresh = rows.join(held, same, "left_anti")
-    unseen = staged((shape(fresh) if shape else fresh).select(*schema.names), "unseen")
+    unseen = (shape(fresh) if shape else fresh).select(*schema.names)
     balanced(unseen, part).write.mode("append").partitionBy(part).parquet(path)
-    discard(unseen)
 
 
 def _run(stream: DataFrame, store, checkpoint: str) -> StreamingQuery:
@@ -100,16 +99,17 @@ def run_news(stream: DataFrame, path: str, rejected: str, checkpoint: str, score
         return news.label_sentiment(news.score_sentiment(articles, chosen))
 
     def store(batch: DataFrame, number: int) -> None:
-        lines = staged(batch.select("value", *landing.feed_place()), "news-batch")
-        items = staged(news.project_variant_news(landing.variant_items(lines, []), extra=["feed_order"]), "news-items")
+        # Lines are read from the landed files where they are used; only the items are written, once, and what is left of them.
+        lines = batch.select("value", *landing.feed_place())
+        items = staged(news.project_variant_news(landing.variant_items(lines, []), extra=["feed_order"]), "news-items", "zstd")
         published, unpublished = news.split_unpublished(items)
-        unreadable = lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+        unreadable = batch.select("value").where((F.trim("value") != "") & F.try_parse_json("value").isNull())
         left_out = unpublished.select("headline", "summary", "source", F.col("published_at").alias("time_published")).unionByName(
             unreadable.select(F.col("value").alias("line")), allowMissingColumns=True)
         left_out.to(T._parse_datatype_string(REJECTED_NEWS)).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
         keyed = published.withColumns({"article_key": row_digest(*NEWS_KEY), "published_date": F.to_date("published_at")})
-        first = staged(keep_first(keyed, ["published_date", "article_key"], [F.asc("feed_order")]), "news-first")
+        first = staged(keep_first(keyed, ["published_date", "article_key"], [F.asc("feed_order")]), "news-first", "zstd")
         _store_unseen(first, path, STORED_NEWS, "article_key", "published_date", scored)
-        discard(lines, items, first)
+        discard(items, first)
 
     return _run(stream, store, checkpoint)
