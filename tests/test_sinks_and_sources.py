@@ -309,3 +309,28 @@ def test_staged_tables_can_be_removed(spark):
     assert not os.path.exists(folder) and kept.count() == 5
     with pytest.raises(AttributeError):
         scratch.discard(spark.range(1))
+
+
+def test_folders_are_listed_in_few_tasks(spark, tmp_path):
+    spark.createDataFrame([(f"S{i}", i) for i in range(60)], "symbol string, volume long").write.partitionBy("symbol").json(str(tmp_path / "bars"))
+    before, tracker = spark.conf.get(landing.LISTING_TASKS), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        with landing.listed_in_few_tasks(spark):
+            found = spark.read.schema("volume long").option("recursiveFileLookup", "true").json(str(tmp_path / "bars"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism < 60
+    assert found.count() == 60 and spark.conf.get(landing.LISTING_TASKS) == before
+
+
+def test_a_news_batch_writes_its_texts_twice_at_most_before_they_are_stored(spark, tmp_path, monkeypatch):
+    written, stage = [], ingest.staged
+    monkeypatch.setattr(ingest, "staged", lambda df, name, *more: written.append((name, *more)) or stage(df, name, *more))
+    items = [{"title": f"t{i}", "summary": "s" * 50, "source": "x", "time_published": "20240101T000000"} for i in (1, 2, 2)]
+    spark.createDataFrame([(json.dumps(i),) for i in items] + [("{broken",)], "value string").coalesce(1).write.option("compression", "gzip").text(str(tmp_path / "feed"))
+    ingest.run_news(ingest.stream_news(spark, str(tmp_path / "feed")), str(tmp_path / "out"), str(tmp_path / "rejected"), str(tmp_path / "progress"))
+    assert written == [("news-items", "zstd"), ("news-first", "zstd")]
+    assert sorted(r["headline"] for r in spark.read.schema(ingest.STORED_NEWS).parquet(str(tmp_path / "out")).collect()) == ["t1", "t2"]
+    assert [r["line"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == ["{broken"]
