@@ -91,6 +91,11 @@ def chunk_text(docs: DataFrame, doc: str = "doc", size: int = CHUNK_SIZE, overla
     )
 
 
+def spread(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """The same rows dealt over all tasks by id and text, however few row groups they are stored in."""
+    return docs.repartition(F.xxhash64(doc, "text"))
+
+
 def fit_embedder(chunks: DataFrame, width: int = 768) -> PipelineModel:
     """Hashed TF-IDF of unit length: a local stand-in for a hosted embedding model."""
     stages = [

@@ -203,7 +203,8 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("embed_text")
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunk_text(spark, sf_dir)
+    # A file of few row groups is read by few tasks, and embedding is most of the work.
+    chunks = R.chunk_text(R.spread(views.documents(spark, sf_dir)))
     embedded = R.embed_text(chunks, R.fit_embedder(chunks))
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     return embedded.select("chunk_id", F.size("embedding").alias("width"), F.round(F.sqrt(squares), 3).alias("norm"))

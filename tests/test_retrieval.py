@@ -117,3 +117,12 @@ def test_embedder_function(spark):
     df = spark.createDataFrame([("ab",)], "text string")
     out = R.embed_text(df, lambda text: F.array(F.length(text).cast("float")), width=3)
     assert out.first()["embedding"] == [2.0, 0.0, 0.0]
+
+
+def test_documents_of_one_file_are_embedded_by_many_tasks(spark, sf_dir):
+    from marketlens.plans import document_queries, views
+
+    plan = document_queries.embed_text(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(xxhash64" in plan
+    docs = views.documents(spark, sf_dir)
+    assert sorted(map(str, R.spread(docs).collect())) == sorted(map(str, docs.collect()))
