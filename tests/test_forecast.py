@@ -197,3 +197,34 @@ def test_missing_values_fail_a_training(spark):
     with pytest.raises(ValueError, match="no training windows"):
         M.fit_sequences(sliding.Windows(short, train=True))
     assert sliding.last_windows(short).isEmpty()
+
+
+def test_fits_run_on_methods_that_the_jvm_compiles(spark, bars, monkeypatch):
+    from marketlens.sources import scratch
+
+    seen, before = [], spark.conf.get(scratch.METHOD_LIMIT)
+
+    class Recorder:
+        def fit(self, rows):
+            plan = rows._jdf.queryExecution().withCachedData().toString()
+            seen.append((rows.sparkSession.conf.get(scratch.METHOD_LIMIT), rows.storageLevel.useMemory, "InMemoryRelation" in plan))
+
+    monkeypatch.setitem(M.ESTIMATORS, "rf", lambda target, **settings: Recorder())
+    features = X.lag_features(bars)
+    M.fit_pooled(features, X.feature_columns(features.columns))
+    assert seen == [("8000", False, True)] * 2 and spark.conf.get(scratch.METHOD_LIMIT) == before
+
+
+def test_features_and_newest_rows_are_written_under_that_limit(spark, bars, monkeypatch):
+    from marketlens.sources import scratch
+
+    limits, stage = {}, scratch.staged
+
+    def staged(df, name, *more):
+        limits[name] = df.sparkSession.conf.get(scratch.METHOD_LIMIT)
+        return stage(df, name, *more)
+
+    monkeypatch.setattr(M, "staged", staged)
+    monkeypatch.setattr(jobs, "staged", staged)
+    jobs.forecast_trades(bars, AS_OF, {"rf": {"trees": 1, "depth": 1}})
+    assert {limits[name] for name in ("features", "moments", "last-rows")} == {"8000"}
