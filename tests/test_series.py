@@ -126,3 +126,15 @@ def test_rejects_of_good_numbers_take_one_pass(spark):
                      ("a", "2024-01-01", "1.5", "volume"), ("b", "", "", "document")]
     # Documents without their key, rows with bad numbers, rows with good ones.
     assert rejected._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+
+
+def test_coverage_keeps_dates_in_one_set_per_symbol(spark):
+    rows = [("a", f"2024-01-{d:02d}") for d in (9, 3, 3, 1, 7, 5, 8)] + [("a", None), ("b", "2024-02-01"), ("b", "2024-02-01"), ("c", None)]
+    bars = spark.createDataFrame(rows, "symbol string, day string").selectExpr("symbol", "to_date(day) AS trade_date")
+    found = series.coverage_report(bars, "2024-01-05")
+    assert {r["symbol"]: (r["bars"], r["has_as_of"], r["first_dates"], r["last_dates"]) for r in found.collect()} == {
+        "a": (7, True, "2024-01-01,2024-01-03,2024-01-05,2024-01-07,2024-01-08", "2024-01-03,2024-01-05,2024-01-07,2024-01-08,2024-01-09"),
+        "b": (2, False, "2024-02-01", "2024-02-01"), "c": (0, None, None, None)}
+    # Neither rows nor days are sorted per symbol, and no second table of days is kept in a task.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("+- HashAggregate") == 0
