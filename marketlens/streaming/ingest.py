@@ -13,7 +13,7 @@ from marketlens.operators.news import NEWS_KEY
 from marketlens.operators.ranked import keep_first, row_digest
 from marketlens.plans import jobs
 from marketlens.sources import landing
-from marketlens.sources.scratch import discard, staged
+from marketlens.sources.scratch import compiled_methods, discard, staged
 from marketlens.sources.sinks import balanced, conform
 
 STORED_BARS = T.StructType([
@@ -68,12 +68,13 @@ def run_bars(docs: DataFrame, path: str, rejected: str, checkpoint: str, start:
 
     def store(batch: DataFrame, number: int) -> None:
         landed = staged(batch, "bars-batch")
-        jobs.rejected_bars(landed, start).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
-        bars = conform(jobs.bars_from_documents(landed, start), S.TRADES)
-        keyed = staged(bars.withColumns({
-            "bar_key": row_digest(*S.TRADES.names), "trade_month": F.trunc("trade_date", "month"),
-        }), "batch-bars")
-        _store_unseen(keyed, path, STORED_BARS, "bar_key", "trade_month")
+        with compiled_methods(batch.sparkSession):
+            jobs.rejected_bars(landed, start).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+            bars = conform(jobs.bars_from_documents(landed, start), S.TRADES)
+            keyed = staged(bars.withColumns({
+                "bar_key": row_digest(*S.TRADES.names), "trade_month": F.trunc("trade_date", "month"),
+            }), "batch-bars")
+            _store_unseen(keyed, path, STORED_BARS, "bar_key", "trade_month")
         discard(landed, keyed)
 
     return _run(docs, store, checkpoint)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from marketlens import schemas as S
 from marketlens.operators import news as N
 from marketlens.operators.features import BAR_VALUES
-from marketlens.plans import jobs
+from marketlens.plans import jobs, views
 from marketlens.sources import landing, scratch, sinks
 from marketlens.streaming import ingest
 from tests_support import make_bars
@@ -334,3 +334,23 @@ def test_a_news_batch_writes_its_texts_twice_at_most_before_they_are_stored(spar
     assert written == [("news-items", "zstd"), ("news-first", "zstd")]
     assert sorted(r["headline"] for r in spark.read.schema(ingest.STORED_NEWS).parquet(str(tmp_path / "out")).collect()) == ["t1", "t2"]
     assert [r["line"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == ["{broken"]
+
+
+def test_streamed_documents_are_built_once_and_parsed_in_compiled_methods(spark, monkeypatch):
+    from marketlens.plans import bar_queries
+
+    limits, stage = [], scratch.staged
+
+    def staged(df, name, *more):
+        limits.append((name, df.sparkSession.conf.get("spark.sql.codegen.hugeMethodLimit")))
+        return stage(df, name, *more)
+
+    monkeypatch.setattr(ingest, "staged", staged)
+    monkeypatch.setattr(bar_queries, "staged", staged, raising=False)
+    bars = make_bars(spark, {"a": 40, "b": 30})
+    docs = views.series_documents(bars.select("symbol", F.col("trade_date").cast("string").alias("date"),
+                                              *[F.col(c).cast("string").alias(c) for c in BAR_VALUES]))
+    stored, rejected = bar_queries._streamed(spark, docs)
+    assert stored.count() == bars.distinct().count() and rejected.count() == 0
+    assert [n for n, _ in limits].count("documents") == 1
+    assert [v for n, v in limits if n == "batch-bars"] == ["8000"] * 2
