@@ -1,6 +1,6 @@
 """Importance resampling towards a target corpus by hashed n-grams.
 
-Separators are collapsed to single spaces. One pattern per n, scanned with overlapping matches, then finds
+Separators are collapsed to single spaces. One pattern per n, scanned with overlapping matches over pieces of whole words, then finds
 every run of n words between two boundaries, and the bytes of each span are counted in their CRC-32 bucket. A bucket's gain compares its
 share in the target with its share in the corpus; a document's weight is the sum over its features. Gumbel noise that
 depends on the id alone turns the weights into a draw without replacement: the documents with the largest sums are taken.
@@ -29,32 +29,47 @@ from marketlens.sources.scratch import staged
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10000, 1, 20, 10, 2024
 #: Features of a text that are looked at at once.
 RUN = 1 << 16
-_SEPARATORS = regex.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes that are scanned at once; one with a longer word is longer.
+PIECE = 1 << 20
+#: A-Z in lower case, separators as spaces.
+_FOLDED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 
 
-def patterns(longest: int = LONGEST) -> list[regex.Pattern]:
+def patterns(longest: int = LONGEST) -> dict[int, regex.Pattern]:
     """For each n up to `longest`: n words with single spaces between them, bounded by spaces or the ends."""
-    return [regex.compile(rb"(?<![^ ])[^ ]+(?: [^ ]+){%d}(?![^ ])" % (n - 1)) for n in range(1, longest + 1)]
+    return {n: regex.compile(rb"(?<![^ ])[^ ]+(?: [^ ]+){%d}(?![^ ])" % (n - 1)) for n in range(1, longest + 1)}
 
 
 def collapsed(text: str | None) -> bytes:
-    """A-Z in lower case, every run of separators one space."""
-    return _SEPARATORS.sub(b" ", (text or "").encode().lower())
-
-
-def bucket_runs(text: str | None, scans: list[regex.Pattern], buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """The words with A-Z in lower case and single spaces between them."""
+    return b" ".join((text or "").encode().translate(_FOLDED).split())
+
+
+def pieces(line: bytes, n: int) -> Iterator[bytes]:
+    """Whole words of about PIECE bytes; a piece begins n - 1 words before the end of the last, so each n words stand in one piece."""
+    start = end = 0
+    while end < len(line):
+        end = line.find(b" ", max(start + PIECE, end + 1))
+        end = len(line) if end < 0 else end
+        yield line[start:end]
+        back = end
+        for _ in range(n - 1):
+            back = line.rfind(b" ", start, back)
+            if back < 0:
+                break
+        # A piece of less than n words held none of them; the next one begins where it did.
+        start = start if back < 0 else back + 1
+
+
+def bucket_runs(text: str | None, scans: dict[int, regex.Pattern], buckets: int = BUCKETS) -> Iterator[np.ndarray]:
     """The buckets of all features of a text, in runs of bounded length."""
     line = collapsed(text)
-    crc = zlib.crc32
-    for scan in scans:
-        run = []
-        for m in scan.finditer(line, overlapped=True):
-            run.append(crc(m[0]))
-            if len(run) == RUN:
-                yield np.array(run, np.int64) % buckets
-                run = []
-        if run:
-            yield np.array(run, np.int64) % buckets
+    for n, scan in scans.items():
+        for piece in pieces(line, n):
+            found = scan.findall(piece, overlapped=True)
+            for at in range(0, len(found), RUN):
+                run = found[at:at + RUN]
+                yield np.fromiter(map(zlib.crc32, run), np.int64, len(run)) % buckets
 
 
 def bucket_counts(docs: DataFrame, text: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
@@ -110,13 +125,13 @@ def weighed(docs: DataFrame, per_bucket: list[int], text: str = "text", longest:
             out = np.zeros((3, batch.num_rows), np.int64)
             for i, value in enumerate(batch.column(text)):
                 words, features, weight = 0, 0, 0
-                for k, scan in enumerate(scans):
-                    n = 0
-                    for found in bucket_runs(value.as_py(), [scan], len(gain)):
-                        n += len(found)
+                for n, scan in scans.items():
+                    runs = 0
+                    for found in bucket_runs(value.as_py(), {n: scan}, len(gain)):
+                        runs += len(found)
                         weight += int(gain[found].sum())
-                    features += n
-                    words = n if k == 0 else words
+                    features += runs
+                    words = runs if n == 1 else words
                 out[:, i] = words, features, weight
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], *map(pa.array, out)], names=schema.names)
         give_back()

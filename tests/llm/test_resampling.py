@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 from pyspark.sql import functions as F
@@ -67,3 +68,27 @@ def test_runs_join(monkeypatch):
     assert [len(r) for r in runs] == [7, 4, 7, 3]
     wanted = [zlib.crc32(f.encode()) % 1000 for f in features(text, 2)[1]]
     assert [int(x) for r in runs for x in r] == wanted
+
+
+def test_pieces_lose_and_repeat_nothing(monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join("x" * rng.choice([1, 2, 3, 40]) for _ in range(n)) for n in (0, 1, 2, 3, 50, 200)]
+    for piece in (1, 5, 64):
+        monkeypatch.setattr(resampling, "PIECE", piece)
+        for text in texts:
+            for n, scan in resampling.patterns(4).items():
+                got = [int(x) for run in resampling.bucket_runs(text, {n: scan}, 1000) for x in run]
+                words = text.split()
+                assert got == [zlib.crc32(" ".join(words[i:i + n]).encode()) % 1000 for i in range(len(words) - n + 1)]
+    assert max(len(p) for p in resampling.pieces(b"ab " * 1000, 2)) < 80
+
+
+def test_no_interpreted_step_for_each_feature():
+    """The check's budget is 900 CPU seconds a GB, nearly all of it the scan: a call for each feature took it beyond."""
+    text, scans, calls = "Wort, haus " * 5000, resampling.patterns(), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        found = sum(len(run) for run in resampling.bucket_runs(text, scans))
+    finally:
+        sys.setprofile(None)
+    assert found == 10000 and len(calls) < 500
