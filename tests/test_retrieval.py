@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,43 @@ def test_queries_skip_blocks_out_of_reach(spark, spread, block):
         assert met < len(asked) * blocks / 2
 
 
+def nearest_by_hand(data, asked, k):
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    scores, ids = np.round(unit[asked] @ unit.T, 6), np.arange(len(data))
+    return {(q, int(v), r + 1) for i, q in enumerate(asked) for r, v in enumerate(np.lexsort((ids, -scores[i]))[:k])}
+
+
+@pytest.mark.parametrize("block", [3, 8])
+def test_vectors_are_sent_once_per_tile(spark, block):
+    # Too far apart for blocks to be skipped; blocks of 3 hold less than k. A third are copies of one vector.
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(1500, 24))
+    data[rng.choice(1500, 500, replace=False)] = data[7]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(3)
+    queries = corpus.withColumnRenamed("vec_id", "query_id")
+    hits = R.vector_topk(queries, corpus, 5, broadcast_limit=1, block=block).collect()
+    assert {(h["query_id"], h["vec_id"], h["rank"]) for h in hits} == nearest_by_hand(data, list(range(1500)), 5)
+    plan = vector_blocks.plan_rounds(queries, corpus, 5, block)
+    assert plan.blocks.select("block").distinct().count() > 100 and plan.rest.count() <= 4 * 1500
+
+
+def test_tiles_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "TILE_BYTES", 16 * 8 * 50)
+    monkeypatch.setattr(vector_blocks, "SCORED_ROWS", 7)
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(300, 16)) + 3 * rng.normal(size=(6, 16))[rng.integers(0, 6, 300)]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    queries = corpus.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id")
+    hits = R.vector_topk(queries, corpus, 5, broadcast_limit=1, block=10).collect()
+    assert {(h["query_id"], h["vec_id"], h["rank"]) for h in hits} == nearest_by_hand(data, list(range(0, 300, 2)), 5)
+
+
+def test_copies_beyond_k_are_left_out():
+    rows = [(5, [1.0, 0.0]), (2, [1.0, 0.0]), (9, [1.0, 0.0]), (1, [0.0, 1.0])]
+    found = pd.DataFrame({"vec_id": [i for i, _ in rows], "embedding": [np.array(v) for _, v in rows], "block": [0, 1, 0, 0]})
+    assert sorted(vector_blocks.first_copies(found, 2)["vec_id"]) == [1, 2, 5]
+
+
 def test_topk_of_little(spark):
     _, corpus = vectors(spark, 3)
     queries = corpus.withColumnRenamed("vec_id", "query_id")
