@@ -64,6 +64,18 @@ def test_forecasts_use_a_hundred_full_trees_per_symbol(spark, sf_dir, monkeypatc
     assert (M.random_forest("close").getNumTrees(), M.random_forest("close").getMaxDepth()) == (100, 30)
 
 
+def test_every_model_of_forecast_days_has_its_full_settings(spark, sf_dir, monkeypatch):
+    asked = []
+
+    def forecast_trades(bars, as_of, models=None):
+        asked.append(models)
+        return {"rf": bars.selectExpr("symbol", "trade_date", "1.0 AS volume_prediction", "1.0 AS close_prediction")}
+
+    monkeypatch.setattr(forecast_queries.jobs, "forecast_trades", forecast_trades)
+    forecast_queries.forecast_days(spark, sf_dir)
+    assert all(models is None or not any(models.values()) and set(models) == {"rf", "gbt", "seq_a", "seq_b"} for models in asked) and asked
+
+
 def test_forests_are_the_same_however_rows_are_dealt(spark):
     features = X.lag_features(make_bars(spark, {"a": 60, "b": 40, "c": 30}, gaps=False)).persist()
     known = features.where("symbol <> 'c'")
