@@ -14,7 +14,7 @@ from marketlens.plans import jobs, views
 from marketlens.plans import sql_views as Q
 from marketlens.plans.registry import query
 from marketlens.sources import landing, sinks
-from marketlens.sources.scratch import new_path, staged
+from marketlens.sources.scratch import discard, new_path, staged
 from marketlens.streaming import ingest
 
 BARS = Q.with_views(Q.TRADES)
@@ -154,10 +154,11 @@ def quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bars and rejects of documents that land twice, one run for each landing; symbols are in the meta data alone."""
     landed, out, rejected, checkpoint = (new_path(spark, n) for n in ("landing", "bars", "rejected", "progress"))
-    docs = staged(docs.drop("symbol"), "documents")
+    docs = staged(docs.drop("symbol"), "documents", "zstd")
     for _ in range(2):
-        docs.write.mode("append").json(landed)
+        docs.write.mode("append").json(landed, compression="gzip")
         ingest.run_bars(ingest.stream_series(spark, landed), out, rejected, checkpoint, start="1900-01-01")
+    discard(docs)
     bars = spark.read.schema(ingest.STORED_BARS).parquet(out).select(*S.TRADES.names)
     return bars, spark.read.parquet(rejected)
 

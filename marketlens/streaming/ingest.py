@@ -13,12 +13,10 @@ from marketlens.operators.news import NEWS_KEY
 from marketlens.operators.ranked import keep_first, row_digest
 from marketlens.plans import jobs
 from marketlens.sources import landing
-from marketlens.sources.scratch import compiled_methods, discard, staged
-from marketlens.sources.sinks import balanced, conform
+from marketlens.sources.scratch import compiled_methods, discard, shuffles_removed, staged
+from marketlens.sources.sinks import balanced
 
-STORED_BARS = T.StructType([
-    *S.TRADES.fields, T.StructField("bar_key", T.BinaryType()), T.StructField("trade_month", T.DateType()),
-])
+STORED_BARS = T.StructType([*S.TRADES.fields, T.StructField("trade_month", T.DateType())])
 STORED_NEWS = T.StructType([
     *S.NEWS_SENTIMENT.fields, T.StructField("article_key", T.BinaryType()), T.StructField("published_date", T.DateType()),
 ])
@@ -35,16 +33,32 @@ def stream_series(spark: SparkSession, folder: str, lines: bool = True, files_pe
     return docs.withColumn("symbol", landing.series_symbol(name_pattern))
 
 
-def _store_unseen(rows: DataFrame, path: str, schema: T.StructType, key: str, part: str, shape=None) -> None:
-    """Append the rows whose key is not stored yet. Only the partitions of the rows themselves are read."""
+def _stored(rows: DataFrame, path: str, schema: T.StructType, part: str) -> DataFrame:
+    """What is stored in the partitions of some rows; no other is read."""
     parts = [r[0] for r in rows.select(part).distinct().collect()]  # at most the days (or months) of the calendar
-    stored = rows.sparkSession.read.schema(schema).parquet(path)
     here = F.col(part).isin([p for p in parts if p is not None])
-    held = stored.where(here | F.col(part).isNull() if None in parts else here).select(F.col(part), F.col(key))
+    return rows.sparkSession.read.schema(schema).parquet(path).where(here | F.col(part).isNull() if None in parts else here)
+
+
+def _store(rows: DataFrame, path: str, schema: T.StructType, part: str) -> None:
+    with shuffles_removed(rows.sparkSession):
+        balanced(rows.select(*schema.names), part).write.mode("append").partitionBy(part).parquet(path)
+
+
+def _store_unseen(rows: DataFrame, path: str, schema: T.StructType, key: str, part: str, shape=None) -> None:
+    """Append the rows whose key is not stored yet."""
+    held = _stored(rows, path, schema, part).select(F.col(part), F.col(key))
     same = rows[part].eqNullSafe(held[part]) & (rows[key] == held[key])
     fresh = rows.join(held, same, "left_anti")
-    unseen = (shape(fresh) if shape else fresh).select(*schema.names)
-    balanced(unseen, part).write.mode("append").partitionBy(part).parquet(path)
+    _store(shape(fresh) if shape else fresh, path, schema, part)
+
+
+def _store_new_bars(bars: DataFrame, path: str) -> None:
+    """Append each bar that is not stored yet, once. New and stored bars meet in one grouping: no key of a bar is made or kept."""
+    held = _stored(bars, path, STORED_BARS, "trade_month")
+    both = bars.select(*S.TRADES.names, F.lit(False).alias("_held")).unionByName(held.select(*S.TRADES.names, F.lit(True).alias("_held")))
+    fresh = both.groupBy(*S.TRADES.names).agg(F.max("_held").alias("_held")).where(~F.col("_held"))
+    _store(fresh.withColumn("trade_month", F.trunc("trade_date", "month")), path, STORED_BARS, "trade_month")
 
 
 def _run(stream: DataFrame, store, checkpoint: str) -> StreamingQuery:
@@ -61,21 +75,19 @@ def run_bars(docs: DataFrame, path: str, rejected: str, checkpoint: str, start:
     """Process the documents that are there, then stop: the bars of the batch job, each stored once however often it lands.
 
     What is stored is itself the state: a batch is compared with the bars of its own months, which are partitions, so nothing
-    expires and a batch that is run again adds nothing. Every batch writes what it sets aside, with a reason, to its part of `rejected`.
+    expires and a batch that is run again adds nothing. A batch is parsed once and written once before it is stored. Every batch writes what it sets aside, with a reason, to its part of `rejected`.
     """
     spark = docs.sparkSession
     spark.createDataFrame([], STORED_BARS).write.mode("append").partitionBy("trade_month").parquet(path)
 
     def store(batch: DataFrame, number: int) -> None:
-        landed = staged(batch, "bars-batch")
         with compiled_methods(batch.sparkSession):
-            jobs.rejected_bars(landed, start).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
-            bars = conform(jobs.bars_from_documents(landed, start), S.TRADES)
-            keyed = staged(bars.withColumns({
-                "bar_key": row_digest(*S.TRADES.names), "trade_month": F.trunc("trade_date", "month"),
-            }), "batch-bars")
-            _store_unseen(keyed, path, STORED_BARS, "bar_key", "trade_month")
-        discard(landed, keyed)
+            judged = jobs.judged_bars(batch, start).withColumn("trade_month", F.trunc("trade_date", "month"))
+            rows = staged(judged, "batch-bars", "zstd")
+            wrong = rows.where(F.col("reason").isNotNull()).select("symbol", "arrived.*", "reason")
+            wrong.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+            _store_new_bars(rows.where(F.col("reason").isNull()), path)
+        discard(rows)
 
     return _run(docs, store, checkpoint)
 

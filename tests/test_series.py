@@ -138,3 +138,25 @@ def test_coverage_keeps_dates_in_one_set_per_symbol(spark):
     # Neither rows nor days are sorted per symbol, and no second table of days is kept in a task.
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("+- HashAggregate") == 0
+
+
+def test_judged_bars_are_the_bars_and_the_rejects(spark):
+    from marketlens.plans import jobs
+    from marketlens.sources.sinks import conform
+
+    day = {"1. open": "1.5", "2. high": "2", "3. low": "NaN", "4. close": "1", "6. volume": "7"}
+    meta, keyed = {"2. Symbol": "x"}, [
+        {"2024-01-02": day, "2024-01-03": {**day, "1. open": "abc", "6. volume": "1e300"}, "2024-01-04": {**day, "6. volume": "1.5"},
+         "2024-01-05": {}, "2020-01-01": day, "x2024-01-06": day, "2024-01-07": {**day, "1. open": "1_0", "4. close": ""}},
+        {"2024-01-02": day}, {"2024-01-02": day}, {}, None,
+    ]
+    rows = [(s, meta, k) for s in ("a", None) for k in keyed] + [(s, None, k) for s in ("b", None) for k in keyed[2:]]
+    docs = spark.createDataFrame(rows, f"symbol string, `{S.META_KEY}` map<string,string>, `{S.SERIES_KEY}` map<string,map<string,string>>")
+    judged = jobs.judged_bars(docs)
+    bars = judged.where("reason IS NULL").select(*S.TRADES.names).distinct()
+    assert sorted(bars.collect(), key=repr) == sorted(conform(jobs.bars_from_documents(docs), S.TRADES).collect(), key=repr) and bars.count() == 3
+    wrong = judged.where("reason IS NOT NULL").select("symbol", "arrived.*", "reason")
+    wanted = jobs.rejected_bars(docs)
+    assert wrong.columns == wanted.columns and sorted(wrong.collect(), key=repr) == sorted(wanted.collect(), key=repr)
+    assert {r["reason"] for r in wanted.collect()} == {"document", "number: open", "number: open,close", "volume", "symbol"}
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1

@@ -354,3 +354,20 @@ def test_streamed_documents_are_built_once_and_parsed_in_compiled_methods(spark,
     assert stored.count() == bars.distinct().count() and rejected.count() == 0
     assert [n for n, _ in limits].count("documents") == 1
     assert [v for n, v in limits if n == "batch-bars"] == ["8000"] * 2
+
+
+def test_a_bars_batch_is_parsed_once_and_written_once_before_it_is_stored(spark, monkeypatch):
+    from marketlens.plans import bar_queries
+
+    written, landed, parsed, stage, write = [], [], [], ingest.staged, ingest.stream_series
+    monkeypatch.setattr(ingest, "staged", lambda df, name, *more: written.append((name, *more)) or stage(df, name, *more))
+    monkeypatch.setattr(ingest, "stream_series", lambda session, folder, **more: landed.append(folder) or write(session, folder, **more))
+    for name in ("bars_from_documents", "rejected_bars", "judged_bars"):
+        monkeypatch.setattr(jobs, name, lambda *a, name=name, run=getattr(jobs, name), **k: parsed.append(name) or run(*a, **k))
+    raw = views.raw_bars(make_bars(spark, {"a": 40, "b": 30}))
+    stored, rejected = bar_queries._streamed(spark, views.series_documents(raw))
+    assert written == [("batch-bars", "zstd")] * 2 and parsed == ["judged_bars"] * 2
+    assert stored.count() == stored.distinct().count() > 50 and rejected.count() == 2 * rejected.drop("batch").distinct().count() > 0
+    # What lands is compressed, and no digest is stored with a bar.
+    assert all(r[0].endswith(".json.gz") for r in spark.read.format("binaryFile").load(landed[0]).select("path").collect())
+    assert [f.name for f in ingest.STORED_BARS] == [*S.TRADES.names, "trade_month"]
