@@ -371,3 +371,18 @@ def test_a_bars_batch_is_parsed_once_and_written_once_before_it_is_stored(spark,
     # What lands is compressed, and no digest is stored with a bar.
     assert all(r[0].endswith(".json.gz") for r in spark.read.format("binaryFile").load(landed[0]).select("path").collect())
     assert [f.name for f in ingest.STORED_BARS] == [*S.TRADES.names, "trade_month"]
+
+
+def test_bars_are_built_once_for_both_json_writes_and_lie_there_compressed(spark, sf_dir, monkeypatch):
+    from marketlens.plans import bar_queries
+
+    built, paths, trades, write = [], [], views.trades, sinks.write_json
+    monkeypatch.setattr(views, "trades", lambda *a: built.append(a) or trades(*a))
+    monkeypatch.setattr(bar_queries, "staged", lambda df, *more: built.append(more) or scratch.staged(df, *more))
+    monkeypatch.setattr(sinks, "write_json", lambda df, path, **more: paths.append((path, df._staged_path)) or write(df, path, **more))
+    found = bar_queries.sink_json_roundtrip(spark, sf_dir)
+    assert built == [(spark, sf_dir), ("json-bars", "zstd")] and len(paths) == 2 and len(set(paths)) == 1
+    files = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths[0][0]).select("path").collect()]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    bars = trades(spark, sf_dir)
+    assert found.count() == bars.count() and found.exceptAll(bars.select(*S.TRADES.names)).isEmpty()
