@@ -95,3 +95,15 @@ def test_missing_values_fail_a_forest(spark):
     features = X.lag_features(make_bars(spark, {"a": 30}, gaps=False))
     with pytest.raises(Exception, match="missing value"):
         M.forecast_flat(features.withColumn("open", F.when(F.col("open") > 4, F.col("open"))), features, "2001-06-01", trees=1).collect()
+
+
+def test_rows_of_forests_are_dealt_before_they_are_scaled(spark, monkeypatch):
+    from marketlens.plans import jobs
+
+    seen, stage = {}, jobs.staged
+    monkeypatch.setattr(jobs, "staged", lambda df, name, *more: seen.update({name: more}) or stage(df, name, *more))
+    monkeypatch.setattr(M, "forecast_flat", lambda train, newest, as_of, **settings: seen.update(train=train, newest=newest))
+    jobs.forecast_trades(make_bars(spark, {"a": 30, "b": 20}, gaps=False), "2001-06-01", {"rf": {}})
+    above, below = seen["train"]._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression [symbol")
+    assert "_fit" in above and "_fit" not in below and seen["features"] == ("zstd",)
+    assert seen["train"].exceptAll(seen["newest"]).isEmpty() and not seen["train"].isEmpty()
